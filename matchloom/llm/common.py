@@ -7,16 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.session import ship
+
 #: The characters that part words: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; one of our own only where none is set, as in tests."""
+    ship(spark)
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:

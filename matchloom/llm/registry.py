@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .hilbert_shards import op10_hilbert_shards
+from .mixing import op5_mixing
+from .packing import op8_packing
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
+    "op8_packing": op8_packing,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
