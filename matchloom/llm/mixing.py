@@ -1,10 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source gets a target of words; a document of it is taken ``target / source words`` times on average, a
-whole number of copies plus a fraction. Fractions are rounded in pairs: one of two documents gives words of
-probability to the other, in a random direction that keeps both expectations, until one of them is whole.
-A pair keeps its expected words exactly, so only the last open document of a source moves its sum. Buckets of
-documents are rounded on their own, then their open documents meet in a tree of fixed fan-in up to one root.
+whole number of copies plus a fraction. Fractions are rounded in pairs: one side gives words of probability to
+the other, in a random direction that keeps both expectations, until one of them is whole. A pair keeps its
+expected words exactly, so only the last open document of a source moves its sum. Within a bucket, documents are
+met from the longest down and each is paired with the pool of all shorter ones, which share one fraction: a long
+document is settled while many can make up for it, and the open one is short. Open documents of the buckets then
+meet, pair by pair, in a tree of fixed fan-in up to one root.
 """
 
 from __future__ import annotations
@@ -56,6 +58,25 @@ def pivotal(size: np.ndarray, part: np.ndarray, draw: np.ndarray) -> tuple[np.nd
     return part, held
 
 
+def pooled(size: np.ndarray, share: float, draw: np.ndarray) -> np.ndarray:
+    """Round documents of one fraction ``share``, longest first, each paired with the pool of those after it.
+
+    Returns the fractions: all whole but one at most. The pool gives or takes words evenly; if it is whole before
+    the document is, the document stays open."""
+    part, rest = np.empty(len(size)), np.append(np.cumsum(size[::-1])[::-1], 0.0)
+    for i in range(len(size)):
+        if not 0 < share < 1 or i + 1 == len(size):
+            part[i] = share
+            continue
+        up, from_pool = (1 - share) * size[i], share * rest[i + 1]
+        down, to_pool = share * size[i], (1 - share) * rest[i + 1]
+        if draw[i] * (min(up, from_pool) + min(down, to_pool)) < min(down, to_pool):
+            part[i], share = (1.0, max(share - up / rest[i + 1], 0.0)) if up <= from_pool else (share + from_pool / size[i], 0.0)
+        else:
+            part[i], share = (0.0, min(share + down / rest[i + 1], 1.0)) if down <= to_pool else (share - to_pool / size[i], 1.0)
+    return part
+
+
 def source_targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size: one row each) with ``target``.
 
@@ -78,7 +99,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def rounded(rows: pa.Table, seed: int, last: bool) -> pa.Table:
+def rounded(rows: pa.Table, seed: int, leaf: bool, last: bool) -> pa.Table:
     """One node of the tree: the rows of a bucket; of each source one stays open at most, none if ``last``."""
     key = mix64(rows["_key"].to_numpy().view(np.uint64) ^ np.uint64(seed))
     draw = (mix64(key) >> np.uint64(11)) * 2.0**-53
@@ -88,15 +109,18 @@ def rounded(rows: pa.Table, seed: int, last: bool) -> pa.Table:
     at = rows.schema.get_field_index("_part")
     order = order[np.argsort(codes[order], kind="stable")]
     for own in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        own = own[(part[own] > 0) & (part[own] < 1)]
+        if leaf and len(own):
+            part[own] = pooled(size[own], part[own[0]], draw[own])
         part[own], held = pivotal(size[own], part[own], draw[own])
         if held >= 0 and last:
             part[own[held]] = float((mix64(key[own[held : held + 1]] ^ np.uint64(1)) >> np.uint64(11))[0]) * 2.0**-53 < part[own[held]]
     return rows.set_column(at, "_part", pa.array(part))
 
 
-def node_of(seed: int, last: bool):
+def node_of(seed: int, leaf: bool, last: bool):
     def node(bucket: pa.Table) -> pa.Table:
-        return rounded(bucket, seed, last)
+        return rounded(bucket, seed, leaf, last)
 
     return node
 
@@ -122,7 +146,7 @@ def mix_sources(docs: DataFrame, seed: int = 42) -> DataFrame:
     done, open_rows = None, rows
     while True:
         last = buckets == 1
-        level = settled(open_rows.groupBy("_bucket").applyInArrow(node_of(seed, last), rows.schema))
+        level = settled(open_rows.groupBy("_bucket").applyInArrow(node_of(seed, done is None, last), rows.schema))
         still = (F.col("_part") > 0) & (F.col("_part") < 1)
         closed = level.where(~still)
         done = closed if done is None else done.unionByName(closed)
