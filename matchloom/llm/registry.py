@@ -5,11 +5,15 @@ from __future__ import annotations
 from .hilbert_shards import op10_hilbert_shards
 from .mixing import op5_mixing
 from .packing import op8_packing
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+}
