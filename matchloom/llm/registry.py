@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .hamming_search import OP7_SQL, op7_hamming_search
 from .hilbert_shards import op10_hilbert_shards
 from .mixing import op5_mixing
 from .packing import op8_packing
+from .vector_dedup import OP3_SQL, op3_vector_dedup
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_vector_dedup": op3_vector_dedup,
     "op5_mixing": op5_mixing,
+    "op7_hamming_search": op7_hamming_search,
     "op8_packing": op8_packing,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op3_vector_dedup": OP3_SQL,
+    "op7_hamming_search": OP7_SQL,
 }
