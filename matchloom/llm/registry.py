@@ -6,6 +6,8 @@ from .hamming_search import OP7_SQL, op7_hamming_search
 from .hilbert_shards import op10_hilbert_shards
 from .mixing import op5_mixing
 from .packing import op8_packing
+from .token_attribution import op6_token_counts
+from .transcripts import op9_transcripts
 from .vector_dedup import OP3_SQL, op3_vector_dedup
 from .warc import OP2_SQL, op2_warc
 
@@ -13,8 +15,10 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_vector_dedup": op3_vector_dedup,
     "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
     "op7_hamming_search": op7_hamming_search,
     "op8_packing": op8_packing,
+    "op9_transcripts": op9_transcripts,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
