@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .hamming_search import OP7_SQL, op7_hamming_search
 from .hilbert_shards import op10_hilbert_shards
+from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .mixing import op5_mixing
 from .packing import op8_packing
 from .token_attribution import op6_token_counts
@@ -14,6 +15,7 @@ from .warc import OP2_SQL, op2_warc
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_vector_dedup": op3_vector_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_hamming_search": op7_hamming_search,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op3_vector_dedup": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op7_hamming_search": OP7_SQL,
 }
