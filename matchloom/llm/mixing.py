@@ -164,14 +164,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` themselves, each as often as the mix takes it, with the columns of ``docs``."""
-    mixed = mix_sources(docs, seed).where("copies > 0")
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "copies")
-    mixed = mixed.groupBy("_id", "_size", "_source").agg(F.collect_list("copies").alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.withColumn("_words", size)
+    """The rows of ``docs`` themselves, each as often as the mix takes it, with the columns of ``docs``.
+
+    Rows are found by id, size and source; only rows that share all three are numbered to tell them apart."""
+    mixed = mix_sources(docs, seed).groupBy("doc_id", "size", "source").agg(F.collect_list("copies").alias("_copies"))
+    mixed = mixed.withColumnsRenamed({"doc_id": "_id", "size": "_size", "source": "_source"})
+    own = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     match = own["doc_id"].eqNullSafe(mixed["_id"]) & (own["_words"] == mixed["_size"]) & own["source"].eqNullSafe(mixed["_source"])
+    joined = own.join(mixed, match)
     same = W.partitionBy("_id", "_size", "_source").orderBy(F.xxhash64("text"))
-    joined = own.join(mixed, match).withColumn("_nth", F.when(F.size("_copies") > 1, F.row_number().over(same)).otherwise(1))
-    times = F.coalesce(F.get("_copies", F.col("_nth") - 1), F.lit(0))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    one = joined.where(F.size("_copies") == 1).withColumn("_times", F.get("_copies", F.lit(0)))
+    more = joined.where(F.size("_copies") > 1).withColumn("_times", F.get("_copies", F.row_number().over(same) - 1))
+    both = one.unionByName(more).where("_times > 0")
+    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)

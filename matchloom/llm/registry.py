@@ -7,12 +7,14 @@ from .hilbert_shards import op10_hilbert_shards
 from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .mixing import op5_mixing
 from .packing import op8_packing
+from .quality import op1_quality
 from .token_attribution import op6_token_counts
 from .transcripts import op9_transcripts
 from .vector_dedup import OP3_SQL, op3_vector_dedup
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_jaccard_join": op4_jaccard_join,
