@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bounds of the training sample: labelled rows, and bytes of their texts. Rows come in the order of a hash of their id.
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
 DIMS, VOCABULARY, WINDOW = 48, 20_000, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-3
 #: Scores from here on are predicted as good.
@@ -71,8 +71,8 @@ def context_vectors(ids: np.ndarray, own: np.ndarray, n: int, dims: int, seed: i
     index, total = index_vectors(ids.max(initial=0) + 1, dims, seed), np.zeros((n, dims), np.float32)
     for step in range(1, WINDOW + 1):
         for at, near in ((own[:-step], ids[step:]), (own[step:], ids[:-step])):
-            for first in range(0, len(at), 250_000):
-                a, b = at[first : first + 250_000], near[first : first + 250_000]
+            for first in range(0, len(at), 100_000):
+                a, b = at[first : first + 100_000], near[first : first + 100_000]
                 order = np.argsort(a, kind="stable")
                 rows, starts = np.unique(a[order], return_index=True)
                 total[rows] += np.add.reduceat(index[b[order]], starts, axis=0)
@@ -155,15 +155,19 @@ def fitted_temperature(odds: np.ndarray, y: np.ndarray) -> float:
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
     """A model from labelled texts; every fifth is set aside for the temperature."""
-    split = [(t or "").split() for t in texts]
-    folds = [[folded(w) for w in words] for words in split]
-    top = Counter(w for words in folds for w in words).most_common(VOCABULARY)
-    words = {w: i + 1 for i, (w, n) in enumerate(sorted(top)) if n > 1}
-    words = {w: i + 1 for i, w in enumerate(words)}
-    top = Counter(shape(w) for ws in split for w in ws).most_common(4000)
-    shapes = {s: i + 1 for i, (s, _) in enumerate(sorted(top))}
+    counts: Counter[str] = Counter()
+    for t in texts:
+        counts.update((t or "").split())
+    of_word, of_shape = Counter(), Counter()
+    for w, n in counts.items():
+        of_word[folded(w)] += n
+        of_shape[shape(w)] += n
+    known = sorted(w for w, n in sorted(of_word.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1)
+    words = {w: i + 1 for i, w in enumerate(known)}
+    shapes = {s: i + 1 for i, s in enumerate(sorted(sorted(of_shape, key=lambda s: (-of_shape[s], s))[:4000]))}
+    del counts, of_word, of_shape
     lookup = Lookup(words, shapes)
-    ids = np.fromiter((lookup[w] for ws in split for w in ws), np.int64)
+    ids = np.concatenate([np.fromiter(map(lookup.__getitem__, (t or "").split()), np.int64) for t in texts])
     word_vectors = context_vectors(ids >> 12, ids >> 12, len(words) + 1, DIMS, SEED)
     word_vectors[0] = 0  # unknown words have their shape only
     shape_vectors = context_vectors(ids & 4095, ids & 4095, len(shapes) + 1, DIMS, SEED + 1)
