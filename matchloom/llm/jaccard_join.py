@@ -94,27 +94,29 @@ class Join:
             own, known = todo.pop()
             if len(np.unique(self.root[own])) < 2:
                 continue
-            if len(own) <= LEAF or len(known) >= 4 * PIVOTS:
-                for x in own:
-                    other = own[self.root[own] != self.root[x]]
-                    if not len(other):
-                        continue
-                    fit = (100 * self.size[other] >= PERCENT * self.size[x]) & (100 * self.size[x] >= PERCENT * self.size[other])
-                    for d in known:
-                        fit &= np.abs(d[other] - d[x]) <= RADIUS + 1e-9
-                    if fit.any():
-                        self.look(int(x))
-                continue
-            pivots = own[np.linspace(0, len(own) - 1, PIVOTS).astype(np.int64)]
-            far = np.stack([self.look(int(p)) for p in pivots])
-            at = far[:, own]
-            nearest = at.min(axis=0)
-            for p in range(len(pivots)):
-                inside = own[at[p] <= nearest + 2 * RADIUS + 1e-9]
-                if (at.argmin(axis=0) == p).any():
-                    todo.append((inside, [*known, *far]) if len(inside) == len(own) else (inside, [*known, far[p]]))
-                    if len(inside) == len(own):
-                        break  # this cell is all of them
+            if len(own) > LEAF:
+                pivots = own[np.linspace(0, len(own) - 1, PIVOTS).astype(np.int64)]
+                far = [self.look(int(p)) for p in pivots]
+                at = np.stack([d[own] for d in far])
+                inside = at <= at.min(axis=0) + 2 * RADIUS + 1e-9
+                inside = inside[np.unique(at.argmin(axis=0))]
+                if inside.sum() <= 1.5 * len(own) and inside.sum(axis=1).max() <= 0.75 * len(own):
+                    todo += [(own[row], []) for row in inside]
+                    continue
+                known = [*known, *far]  # all are near all: cells would be copies of the whole
+            self.pairs(own, known)
+
+    def pairs(self, own: np.ndarray, known: list[np.ndarray]) -> None:
+        """Join the sets ``own`` one by one, each only if some other may link to it that isn't connected yet."""
+        far = np.stack([d[own] for d in known]) if known else np.zeros((0, len(own)))
+        size = self.size[own]
+        for i, x in enumerate(own):
+            fit = self.root[own] != self.root[x]
+            fit &= (100 * size >= PERCENT * size[i]) & (PERCENT * size <= 100 * size[i])
+            if fit.any():
+                fit &= (np.abs(far - far[:, i : i + 1]) <= RADIUS + 1e-9).all(axis=0)
+            if fit.any():
+                self.look(int(x))
 
     def all(self) -> list[tuple[int, int]]:
         self.cell(np.arange(len(self.size)), [])
