@@ -1,12 +1,39 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars, or in one task where it is small."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
 
+#: So many edges are united by one task, which takes a few tens of MB; more go through the rounds of stars.
+ONE_TASK = 400_000
+
+
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node of the component of each."""
+    nodes, dense = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(len(nodes)))
+    for x, y in zip(dense[: len(a)].tolist(), dense[len(a) :].tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    for x in range(len(root)):  # a root is never larger than what points at it
+        root[x] = root[root[x]]
+    return nodes, nodes[root]
+
+
+def _in_one_task(batches):
+    rows = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches if b.num_rows]
+    if rows:
+        nodes, least = united(*(np.concatenate(x) for x in zip(*rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b: long) to (node, component): the smallest node that each node of an edge reaches.
@@ -14,8 +41,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A large star links each node's larger neighbours to its least neighbour, a small star its smaller ones; when
     nothing changes every node points at the least of its component. Minima are combined before they are
     shuffled; joins are plain equi-joins, whose hot nodes adaptive execution splits. Loops are dropped."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = settled(edges), None
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, before = settled(edges.distinct()), None
+    if edges.count() <= ONE_TASK:
+        return settled(edges.coalesce(1).mapInArrow(_in_one_task, "node long, component long"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
