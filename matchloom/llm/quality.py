@@ -113,7 +113,11 @@ class Model:
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
-        return (np.tanh((x - self.mean) / self.spread @ w1 + b1) @ w2 + b2)[:, 0] / self.temperature
+        return (np.tanh(self.scaled(x) @ w1 + b1) @ w2 + b2)[:, 0] / self.temperature
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Features by their spread in training, cut at three spreads: the vector of a text of one word lies far out in every dimension."""
+        return np.clip((x - self.mean) / self.spread, -3, 3)
 
     def scores(self, texts: Iterable[str | None], lookup: Lookup) -> np.ndarray:
         x = [self.pooled(t, lookup) for t in texts]
@@ -177,7 +181,8 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     x, y = np.array([model.pooled(t, lookup) for t in texts]), np.array(labels)
     aside = np.arange(len(x)) % 5 == 4
     model.mean, model.spread = x[~aside].mean(0), np.maximum(x[~aside].std(0), 1e-3)
-    model.layers = train_network((x[~aside] - model.mean) / model.spread, y[~aside].astype(np.float64))
+    model.spread[: 2 * DIMS] *= 2  # many, and each weaker than a pooled share
+    model.layers = train_network(model.scaled(x[~aside]), y[~aside].astype(np.float64))
     if aside.any():
         model.temperature = fitted_temperature(model.odds(x[aside]), y[aside])
     return model
