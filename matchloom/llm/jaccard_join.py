@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .vector_dedup import arrow_rows
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a range and of a message of one task, sets of a block, and of a cell that is joined as it is.
-RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 4_000_000, 1_000, 48
+RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 2_000_000, 1_000, 48
 PIVOTS = 8
 #: Bits of the filter of sets that may link: 8 MB at most.
 FILTER_BITS = 1 << 26
@@ -138,8 +139,8 @@ def _sets(batch: pa.RecordBatch):
 
 
 def _ranged(rows_of, ranges: int):
-    """Messages of (range, keys, of, nodes, sizes): shingles of many sets by range, as bytes."""
-    nodes, sizes, sets, total = [], [], [], 0
+    """Messages of (range, keys, of, nodes): shingles of many sets by range."""
+    nodes, sets, total = [], [], 0
 
     def send():
         keys = np.concatenate(sets)
@@ -150,36 +151,41 @@ def _ranged(rows_of, ranges: int):
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
         for a, b in zip(cuts, cuts[1:]):
             used, local = np.unique(of[a:b], return_inverse=True)
-            yield int(slot[a]), keys[a:b], local, [nodes[u] for u in used], [sizes[u] for u in used]
+            yield int(slot[a]), keys[a:b], local, np.array([nodes[u] for u in used], np.uint64)
 
     for node, s in rows_of:
         nodes.append(node)
-        sizes.append(len(s))
         sets.append(s)
         total += len(s)
         if total >= MESSAGE or len(sets) >= 60_000:
             yield from send()
-            nodes, sizes, sets, total = [], [], [], 0
+            nodes, sets, total = [], [], 0
     if total:
         yield from send()
 
 
-ROW = pa.schema([("slot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("of", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
-ROW_SQL = "slot int, doc_id long, n long, node long, keys binary, of binary, nodes binary, sizes binary"
+ROW = pa.schema([("slot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("of", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
+ROW_SQL = "slot int, doc_id long, n long, node long, keys binary, of binary, nodes binary, counts binary"
 
 
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _low40(keys: np.ndarray) -> bytes:
-    """The low 40 bits of keys, in five bytes each; with a range, enough to tell which are equal but for one in thousands."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+#: Bytes of a shingle in a message: with its range, enough to tell which are equal but for one in thousands, and
+#: one that is taken for shared only keeps a set for the next step. Bytes of a node's name, of which no two are
+#: expected to be equal among less than ten million; a pair of them would have to link besides.
+KEY, NAME = 5, 6
 
 
-def _wide40(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _low(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, ``width`` of each."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view(np.uint64).ravel()
 
 
@@ -205,11 +211,8 @@ def _messages(docs: DataFrame, ranges: int) -> DataFrame:
                 part, held[:] = held[:10_000], held[10_000:]
                 yield pa.RecordBatch.from_pylist([{"slot": node % ranges, "doc_id": d, "n": n, "node": signed(node)} for d, n, node in part], ROW)
 
-        for slot, keys, local, nodes, sizes in _ranged(documents(), ranges):
-            yield pa.RecordBatch.from_pylist([{
-                "slot": slot, "keys": _low40(keys), "of": local.astype(np.uint16).tobytes(),
-                "nodes": np.array(nodes, np.uint64).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(),
-            }], ROW)
+        for slot, keys, local, nodes in _ranged(documents(), ranges):
+            yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": _low(keys, KEY), "of": local.astype(np.uint16).tobytes(), "nodes": _low(nodes, NAME)}], ROW)
             if len(held) >= 10_000:
                 yield from rows()
         yield from rows()
@@ -221,40 +224,37 @@ def _count_shared(buckets: int):
     """Of one range: its documents' rows, and for each node how many of its shingles another node has too, by bucket of nodes."""
 
     def run(group: pa.Table) -> pa.Table:
-        plain = group.filter(pa.compute.is_null(group["keys"]))
-        messages = group.filter(pa.compute.is_valid(group["keys"]))
+        plain = group.filter(pc.is_null(group["keys"]))
+        messages = group.filter(pc.is_valid(group["keys"]))
         out = [plain]
         if messages.num_rows:
-            keys = np.concatenate([_wide40(k.as_py()) for k in messages["keys"]])
-            of, nodes, sizes, at = [], [], [], 0
-            for o, n, s in zip(messages["of"], messages["nodes"], messages["sizes"]):
+            keys = np.concatenate([_wide(k.as_py(), KEY) for k in messages["keys"]])
+            of, nodes, at = [], [], 0
+            for o, n in zip(messages["of"], messages["nodes"]):
                 of.append(np.frombuffer(o.as_py(), np.uint16).astype(np.int64) + at)
-                nodes.append(np.frombuffer(n.as_py(), np.uint64))
-                sizes.append(np.frombuffer(s.as_py(), np.int64))
+                nodes.append(_wide(n.as_py(), NAME))
                 at += len(nodes[-1])
-            nodes, first, dense = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
-            sizes = np.concatenate(sizes)[first]
-            pairs = np.unique(keys << np.uint64(24) | dense[np.concatenate(of)].astype(np.uint64))
+            nodes, dense = np.unique(np.concatenate(nodes), return_inverse=True)
+            keys <<= np.uint64(24)
+            keys |= dense[np.concatenate(of)].astype(np.uint64)
+            pairs = np.unique(keys)
             same = pairs[1:] >> np.uint64(24) == pairs[:-1] >> np.uint64(24)
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             counts = np.bincount((pairs[shared] & np.uint64(2**24 - 1)).astype(np.int64), minlength=len(nodes))
             bucket = (nodes % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(bucket[counts > 0]):
                 own = (bucket == b) & (counts > 0)
-                out.append(pa.Table.from_pylist([{"slot": int(b), "keys": counts[own].tobytes(), "nodes": nodes[own].tobytes(), "sizes": sizes[own].tobytes()}], ROW))
+                out.append(pa.Table.from_pylist([{"slot": int(b), "nodes": _low(nodes[own], NAME), "counts": counts[own].astype(np.uint32).tobytes()}], ROW))
         return pa.concat_tables([t.cast(ROW) for t in out])
 
     return run
 
 
-def _enough_shared(group: pa.Table) -> pa.Table:
-    nodes = np.concatenate([np.frombuffer(n.as_py(), np.uint64) for n in group["nodes"]])
-    counts = np.concatenate([np.frombuffer(k.as_py(), np.int64) for k in group["keys"]])
-    sizes = np.concatenate([np.frombuffer(k.as_py(), np.int64) for k in group["sizes"]])
-    nodes, first, dense = np.unique(nodes, return_index=True, return_inverse=True)
-    total = np.bincount(dense, counts).astype(np.int64)
-    keep = total >= least_common(sizes[first])
-    return pa.table({"node": pa.array(nodes[keep].view(np.int64))})
+def _shared_counts(group: pa.Table) -> pa.Table:
+    """Of a bucket of nodes: each with its shingles that other nodes have."""
+    nodes, dense = np.unique(np.concatenate([_wide(n.as_py(), NAME) for n in group["nodes"]]), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(k.as_py(), np.uint32) for k in group["counts"]])
+    return pa.table({"name": pa.array(nodes.view(np.int64)), "shared": pa.array(np.bincount(dense, counts).astype(np.int64))})
 
 
 def member_filter(nodes: DataFrame) -> np.ndarray:
@@ -291,8 +291,8 @@ def _member_messages(docs: DataFrame, bits, ranges: int) -> DataFrame:
                             seen.add(node)
                             yield node, s
 
-        for slot, keys, local, nodes, _ in _ranged(documents(), ranges):
-            yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": keys.tobytes(), "of": local.astype(np.uint16).tobytes(), "nodes": np.array(nodes, np.uint64).tobytes()}], ROW)
+        for slot, keys, local, nodes in _ranged(documents(), ranges):
+            yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": keys.tobytes(), "of": local.astype(np.uint16).tobytes(), "nodes": nodes.tobytes()}], ROW)
 
     return docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_SQL)
 
@@ -313,7 +313,7 @@ def _count_holders(buckets: int):
         out = []
         for b in np.unique(bucket):
             own = bucket == b
-            out.append({"slot": int(b), "keys": keys[own].tobytes(), "nodes": owner[own].tobytes(), "sizes": held[own].tobytes()})
+            out.append({"slot": int(b), "keys": keys[own].tobytes(), "nodes": owner[own].tobytes(), "counts": held[own].astype(np.uint32).tobytes()})
         return pa.Table.from_pylist(out, ROW)
 
     return run
@@ -322,7 +322,7 @@ def _count_holders(buckets: int):
 def _windows(group: pa.Table) -> pa.Table:
     """Sets of a bucket of nodes, with their window of pivots: the rarest shingles, as many as a partner may lack and one more."""
     nodes, keys = (np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group[c]]) for c in ("nodes", "keys"))
-    held = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group["sizes"]])
+    held = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group["counts"]])
     order = np.lexsort((keys, held, nodes))
     nodes, keys, held = nodes[order], keys[order], held[order]
     cuts = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, [len(nodes)]])
@@ -408,7 +408,9 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         counted = _messages(docs, ranges).groupBy("slot").applyInArrow(_count_shared(ranges), ROW_SQL)
         counted = settled(counted)
         rows = counted.where("node is not null").select("doc_id", "n", "node")
-        members = settled(counted.where("keys is not null").groupBy("slot").applyInArrow(_enough_shared, "node long"))
+        shared = counted.where("counts is not null").groupBy("slot").applyInArrow(_shared_counts, "name long, shared long")
+        named = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).withColumn("name", F.col("node").bitwiseAND((1 << 8 * NAME) - 1))
+        members = settled(named.join(shared, "name").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("node"))
         bits = spark.sparkContext.broadcast(member_filter(members))
         held = _member_messages(docs, bits, ranges).groupBy("slot").applyInArrow(_count_holders(ranges), ROW_SQL)
         sets = settled(held.groupBy("slot").applyInArrow(_windows, "node long, n long, shingles binary, pivots array<long>"))
