@@ -152,7 +152,7 @@ def fit(blocks: DataFrame) -> Model:
 
 
 def decode(blocks: DataFrame, model: Model) -> DataFrame:
-    """The lines of ``blocks`` with ``state``, by Viterbi over each whole transcript."""
+    """``blocks`` with the states of their lines, by Viterbi over each whole transcript: conv_id, block, lines, states."""
     long_ones = blocks.where("nth > 1").select("conv_id").distinct()
 
     def matrices(batches):
@@ -200,32 +200,44 @@ def decode(blocks: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["block"], batch["lines"], pa.array([o.tolist() for o in out], pa.list_(pa.int32()))], ["conv_id", "block", "lines", "states"])
 
     item = joined.schema["lines"].dataType.simpleString()
-    traced = joined.select("conv_id", "block", "lines", "before", "nth", "state_before", "state_last").mapInArrow(trace, f"conv_id {kind}, block long, lines {item}, states array<int>")
-    rows = traced.select("conv_id", "block", F.posexplode(F.arrays_zip("lines", "states")).alias("at", "_x"))
-    return rows.select("conv_id", "block", "at", "_x.lines.*", F.col("_x.states").alias("state"))
-
-
-def turns_of(lines: DataFrame) -> DataFrame:
-    """Turns of decoded ``lines``: conv_id, turn (from 0), role, text without its marker, and the rendered turn."""
-    opens = F.when(F.col("at").isNull(), 0).otherwise(F.col("state") % 2)
-    # Turns are numbered block by block, so that no window holds a whole transcript.
-    within = F.sum(opens).over(W.partitionBy("conv_id", "block").orderBy("at"))
-    numbered = lines.withColumn("_own", within)
-    counts = numbered.groupBy("conv_id", "block").agg(F.max("_own").alias("_opened"))
+    return joined.select("conv_id", "block", "lines", "before", "nth", "state_before", "state_last").mapInArrow(trace, f"conv_id {kind}, block long, lines {item}, states array<int>")
+
+
+def turns_of(decoded: DataFrame) -> DataFrame:
+    """Turns of ``decoded`` blocks: conv_id, turn (from 0), role, text without its marker, and the rendered turn.
+
+    A block's lines are put together in its task; what goes on from the block before is its piece 0. Pieces are
+    numbered by the turns that earlier blocks open, so that no window holds more than a row per block."""
+
+    def assemble(batches):
+        for batch in batches:
+            of, block, nth, role, text = [], [], [], [], []
+            for row, (lines, states) in enumerate(zip(batch["lines"].to_pylist(), batch["states"].to_pylist())):
+                own = -1
+                for i, (line, state) in enumerate(zip(lines, states)):
+                    who, opens = STATES[state]
+                    if opens or i == 0:
+                        own += opens if i else 1 + opens
+                        of.append(row)
+                        nth.append(own)
+                        role.append(ROLES[who])
+                        text.append([])
+                    text[-1].append(MARKER.sub("", line["text_line"], count=1) if opens else line["text_line"])
+            block = batch["block"].take(pa.array(of, pa.int64()))
+            arrays = [batch["conv_id"].take(pa.array(of, pa.int64())), block, pa.array(nth, pa.int32()), pa.array(role, pa.string()), pa.array(["\n".join(t) for t in text], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "block", "own", "role", "text"])
+
+    kind = decoded.schema["conv_id"].dataType.simpleString()
+    pieces = settled(decoded.select("conv_id", "block", "lines", "states").mapInArrow(assemble, f"conv_id {kind}, block long, own int, role string, text string"))
+    opened = pieces.groupBy("conv_id", "block").agg(F.max("own").alias("_opened"))
     before = F.coalesce(F.sum("_opened").over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("conv_id").alias("_id"), F.col("block").alias("_block"), before.alias("_before"))
-    numbered = numbered.join(counts, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block")))
-    turn = F.greatest(F.col("_before") + F.col("_own") - 1, F.lit(0)).cast("int").alias("nth_turn")
-    role = F.get(F.array(*map(F.lit, ROLES)), F.floor(F.col("state") / 2).cast("int"))
-    text = F.when(opens == 1, F.regexp_replace("text_line", java(MARKER), "")).otherwise(F.col("text_line"))
-    grouped = numbered.select("conv_id", turn, "block", "at", role.alias("role"), text.alias("text_line")).groupBy("conv_id", "nth_turn").agg(
-        F.array_sort(F.collect_list(F.struct("block", "at", "text_line"))).alias("_lines"), F.first("role").alias("role"))
-    body = F.trim(F.array_join(F.transform("_lines", lambda x: x["text_line"]), "\n"), F.lit("\n"))
-    return grouped.select("conv_id", F.col("nth_turn").alias("turn"), "role", body.alias("text"), render(F.col("role"), body).alias("rendered"))
-
-
-def java(pattern: re.Pattern) -> str:
-    return "(?i)" + pattern.pattern
+    opened = opened.select(F.col("conv_id").alias("_id"), F.col("block").alias("_block"), before.alias("_before"))
+    numbered = pieces.join(opened, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block")))
+    turn = F.greatest(F.col("_before") + F.col("own") - 1, F.lit(0)).cast("int").alias("turn")
+    grouped = numbered.select("conv_id", turn, "block", "own", "role", "text").groupBy("conv_id", "turn").agg(
+        F.array_sort(F.collect_list(F.struct("block", "own", "text"))).alias("_pieces"), F.min_by("role", F.struct("block", "own")).alias("role"))
+    body = F.trim(F.array_join(F.transform("_pieces", lambda x: x["text"]), "\n"), F.lit("\n"))
+    return grouped.select("conv_id", "turn", "role", body.alias("text"), render(F.col("role"), body).alias("rendered"))
 
 
 def render(role: Column, text: Column) -> Column:

@@ -109,8 +109,8 @@ def test_blocks_give_the_path_of_the_whole(spark, monkeypatch):
     lines = ["User: hi", "", "what now?", "Bot: yes.", "- a", "- b", "", "[system] stop", "ok!", "A: b", "c" * 80, "", "Q: d?"] * 3
     table = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)] + [(None, 0, "User: alone"), (2, None, None)], "conv_id long, turn long, raw string")
     raw = table.selectExpr("conv_id", "turn", "coalesce(raw, '') raw")
-    rows = T.decode(T.blocks_of(T.line_table(raw)), model).where("conv_id = 1").orderBy("block", "at").collect()
-    assert [r["state"] for r in rows] == viterbi(model, T.line_features(lines, None))
+    rows = T.decode(T.blocks_of(T.line_table(raw)), model).where("conv_id = 1").orderBy("block").collect()
+    assert len(rows) > 5 and [x for r in rows for x in r["states"]] == viterbi(model, T.line_features(lines, None))
     turns = T.parse_transcripts(table, model).collect()
     assert {t["conv_id"] for t in turns} == {1, 2, None} and all(t["rendered"].startswith(f"<|im_start|>{t['role']}\n") for t in turns)
     assert T.parse_transcripts(table.limit(0), model).count() == 0
@@ -194,7 +194,7 @@ def test_queries_and_sql_are_registered():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op3_vector_dedup", "op4_jaccard_join", "op7_hamming_search"])
+@pytest.mark.parametrize("name", ["op2_warc", "op3_vector_dedup", "op4_jaccard_join", "op7_hamming_search", "op10_hilbert_shards"])
 def test_queries_match_their_sql(spark, tiny, name):
     import duckdb
 
