@@ -5,7 +5,7 @@ Hilbert curve through all cells, and runs of the rows in curve order become shar
 are near on the curve, so the files of a shard hold narrow ranges of every dimension and readers skip the rest.
 
 A row's rank in the whole order comes from counts at three nested levels (curve cell, a slice of the text's
-checksum, a slice of the id's hash), each level with a bounded number of children, so no sort, window or task
+checksum, a slice of the id's), each level with a bounded number of children, so no sort, window or task
 ever holds a hot cell or a hot group of copies; rows travel without their text.
 """
 
@@ -123,7 +123,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 4, dims: tuple
     placed = keys.select(
         "doc_id", "size", "text_crc32", curve.alias("curve"),
         F.floor(F.col("text_crc32") * CRC_SLICES / F.lit(2**32)).cast("int").alias("_crc"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLICES)).cast("int").alias("_id"),
+        (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % ID_SLICES).cast("int").alias("_id"),
     )
     total = keys.count()
     least, more = total // shards, total % shards
@@ -139,3 +139,28 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 4, dims: tuple
 
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def _crc_sql(data: str) -> str:
+    """The checksum of a list of bytes; ``t.crc`` has that of each single byte."""
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {data}), lambda a, b: xor(a >> 8, t.crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _depth_sql(dim: str) -> str:
+    return f"c_{dim} as (select {dim}, floor(coalesce(sum(count(*)) over (order by {dim} rows between unbounded preceding and 1 preceding), 0) * 16 / (select count(*) from k))::int q_{dim} from k where {dim} is not null group by {dim})"
+
+
+_DIGIT = "strpos('0123456789ABCDEF', {}) - 1"
+_BYTES = f"list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ((({_DIGIT.format('p[1]')}) * 16 + {_DIGIT.format('p[2]')}))::bigint)"
+_ID_BYTES = "list_transform(string_split(doc_id::varchar, ''), lambda x: unicode(x)::bigint)"
+OP10_SQL = f"""
+with t as (select list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda r, n: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)) crc),
+b as (select doc_id, source, lang, octet_length(encode(coalesce(text, '')))::bigint + 8 size, {_crc_sql(_BYTES)} text_crc32, {_crc_sql(_ID_BYTES)} % {ID_SLICES} id_slice from documents, t),
+k as (select *, length(bin(size)) * 16 + floor(size / pow(2, greatest(length(bin(size)) - 4, 0)))::int coarse from b),
+{_depth_sql('source')}, {_depth_sql('lang')}, {_depth_sql('coarse')},
+h as (select k.*, {[hilbert_index([c // 256, c // 16 % 16, c % 16], 4) for c in range(4096)]}[(coalesce(q_source, 15) * 16 + coalesce(q_lang, 15)) * 16 + coalesce(q_coarse, 15) + 1] curve
+  from k left join c_source using (source) left join c_lang using (lang) left join c_coarse using (coarse)),
+r as (select *, row_number() over (order by curve, floor(text_crc32 * {CRC_SLICES} / 4294967296), id_slice, text_crc32, doc_id) - 1 rk, (select count(*) from documents) // 24 least, (select count(*) from documents) % 24 more from h),
+s as (select *, (case when rk < more * (least + 1) then rk // (least + 1) else more + (rk - more * (least + 1)) // greatest(least, 1) end)::int shard from r)
+select doc_id, size, text_crc32, 'rows' law, shard, (rk - case when shard < more then shard * (least + 1) else more * (least + 1) + (shard - more) * least end)::bigint slot, null::int grown_shard, curve::int curve from s
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .hamming_search import OP7_SQL, op7_hamming_search
-from .hilbert_shards import op10_hilbert_shards
+from .hilbert_shards import OP10_SQL, op10_hilbert_shards
 from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .mixing import op5_mixing
 from .packing import op8_packing
@@ -31,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op3_vector_dedup": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,
     "op7_hamming_search": OP7_SQL,
+    "op10_hilbert_shards": OP10_SQL,
 }
