@@ -34,6 +34,8 @@ PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a range and of a message of one task, sets of a block, and of a cell that is joined as it is.
 RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 2_000_000, 1_000, 48
+#: Ranges there are at least, so that small tables are dealt evenly too.
+LEAST_RANGES = 24
 PIVOTS = 8
 #: Bits of the filter of sets that may link: 8 MB at most.
 FILTER_BITS = 1 << 26
@@ -403,7 +405,7 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` its doc_id, n and node (the name of its set), and edges that connect all nodes that link."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-int(size) // (6 * RANGE)))
+    ranges = max(LEAST_RANGES, -(-int(size) // (6 * RANGE)))
     with arrow_rows(spark, DOCS):
         counted = _messages(docs, ranges).groupBy("slot").applyInArrow(_count_shared(ranges), ROW_SQL)
         counted = settled(counted)
