@@ -167,13 +167,13 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` themselves, each as often as the mix takes it, with the columns of ``docs``.
 
     Rows are found by id, size and source; only rows that share all three are numbered to tell them apart."""
-    mixed = mix_sources(docs, seed).groupBy("doc_id", "size", "source").agg(F.collect_list("copies").alias("_copies"))
-    mixed = mixed.withColumnsRenamed({"doc_id": "_id", "size": "_size", "source": "_source"})
-    own = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    match = own["doc_id"].eqNullSafe(mixed["_id"]) & (own["_words"] == mixed["_size"]) & own["source"].eqNullSafe(mixed["_source"])
+    mixed = mix_sources(docs, seed).groupBy("doc_id", "size", "source").agg(F.array_sort(F.collect_list("copies")).alias("_mix_copies"))
+    mixed = mixed.withColumnsRenamed({"doc_id": "_mix_id", "size": "_mix_size", "source": "_mix_source"})
+    own = docs.withColumn("_mix_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    match = own["doc_id"].eqNullSafe(mixed["_mix_id"]) & (own["_mix_words"] == mixed["_mix_size"]) & own["source"].eqNullSafe(mixed["_mix_source"])
     joined = own.join(mixed, match)
-    same = W.partitionBy("_id", "_size", "_source").orderBy(F.xxhash64("text"))
-    one = joined.where(F.size("_copies") == 1).withColumn("_times", F.get("_copies", F.lit(0)))
-    more = joined.where(F.size("_copies") > 1).withColumn("_times", F.get("_copies", F.row_number().over(same) - 1))
-    both = one.unionByName(more).where("_times > 0")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    same = W.partitionBy("_mix_id", "_mix_size", "_mix_source").orderBy(F.xxhash64("text"))
+    one = joined.where(F.size("_mix_copies") == 1).withColumn("_mix_times", F.get("_mix_copies", F.lit(0)))
+    more = joined.where(F.size("_mix_copies") > 1).withColumn("_mix_times", F.get("_mix_copies", F.row_number().over(same) - 1))
+    both = one.unionByName(more).where("_mix_times > 0")
+    return both.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

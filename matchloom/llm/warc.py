@@ -76,11 +76,12 @@ def record(page_id: Column, url: Column, at: Column, payload: Column, digest: Co
     )
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html and perhaps ``fetched``, in seconds) as archives under ``path``.
+def write_archives(pages: DataFrame, path: str, fetched: str | None = None) -> None:
+    """Write ``pages`` (page_id, url, html) as archives under ``path``. ``fetched``: a column of seconds since 1970, if there is one.
 
     Each partition becomes an archive; payloads are shuffled once at most, by the join on digests."""
-    at = F.col("fetched") if "fetched" in pages.columns else F.lit(FIRST_SECOND) + F.coalesce(F.col("page_id"), F.lit(0))
+    made_up = F.lit(FIRST_SECOND) + F.coalesce(F.col("page_id"), F.lit(0))
+    at = F.coalesce(F.col(fetched), made_up) if fetched else made_up
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", at.cast("long").alias("at"), payload.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
@@ -215,14 +216,14 @@ def capture_history(index: DataFrame) -> DataFrame:
     return index.withColumn("visit", F.row_number().over(history))
 
 
-def archived_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+def archived_index(pages: DataFrame, path: str | None = None, fetched: str | None = None) -> DataFrame:
     """Write ``pages`` as archives, read them back and merge their runs: one row per page.
 
     A null html is an empty payload; a null url has the key ``)/``; a null id stays null. Repeated rows are
     records of their own. Other columns are ignored; an empty table gives no rows."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_archives(pages.select("page_id", "url", "html", *[c for c in ("fetched",) if c in pages.columns]), path)
+    write_archives(pages, path, fetched)
     return merge_runs(read_archives(spark, path))
 
 
