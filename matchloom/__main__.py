@@ -34,6 +34,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--support", type=float)
     p.add_argument("--lone", type=float)
     p.add_argument("--by-country", action="store_true", help="also tune a threshold for each country")
+    p.add_argument("--rules", action="store_true", help="also tune the rules on whole entities")
     p.add_argument("--dry-run", action="store_true", help="tune without saving")
     p.add_argument("--limit", type=int, help="read the first rows of each source only")
     p.add_argument("--overwrite", action="store_true")
@@ -128,9 +129,8 @@ class Steps:
         if self.o.by_country:
             points = evaluate.sweep(best, true, ours, evaluate.grid(0.30, 0.985, 0.005), ["country"])
             found["country_thresholds"] = {r["country"]: r["threshold"] for r in evaluate.best_point(points, ["country"]).collect()}
-        for name in ("support", "lone"):
-            if getattr(self.o, name) is not None:
-                found[f"{name}_threshold"] = getattr(self.o, name)
+        rules = dict(zip(("support_threshold", "lone_threshold"), evaluate.tune_rules(best, true, ours, found["threshold"]) if self.o.rules else (self.o.support, self.o.lone)))
+        found |= {name: value for name, value in rules.items() if value is not None}
         print(found)
         evaluate.report(evaluate.entity_scores(decide.accepted(best, found["threshold"]), true, ours)).show()
         if not self.o.dry_run:

@@ -88,6 +88,38 @@ def tune(best: DataFrame, truth: DataFrame, entities: DataFrame) -> float:
     return float(finer["threshold"] if finer["macro_f05"] > found["macro_f05"] else found["threshold"])
 
 
+def rule_sweep(best: DataFrame, truth: DataFrame, entities: DataFrame, threshold: float, supports: list[float] | None = None, lones: list[float] | None = None, support: float | None = None) -> DataFrame:
+    """(point, macro_f05): the macro score with each of ``supports``, or with ``support`` and each of ``lones``, in one pass.
+
+    Rows are repeated for each point, of which there are few; then every point is decided and scored on its own."""
+    points = supports if supports is not None else lones
+    of_entity = W.partitionBy("point", "s1_id")
+    weaker = F.col("point") if supports is not None else F.lit(support)
+    rows = correct(best, truth).withColumn("point", F.explode(F.lit(points))).withColumn("_sure", F.col("prob") >= threshold)
+    rows = rows.where(F.col("_sure") | (F.coalesce(F.col("prob") >= weaker, F.lit(False)) if supports is not None or support is not None else F.lit(False)))
+    rows = rows.withColumn("_any", F.max("_sure").over(of_entity)).where("_any")
+    if lones is not None:
+        rows = rows.withColumn("_n", F.count("*").over(of_entity)).where((F.col("_n") > 1) | (F.col("prob") >= F.col("point")))
+    hits = rows.groupBy("point", "s1_id").agg(F.count("*").alias("n_pred"), F.count_if("correct").alias("tp"))
+    every = true_counts(entities, truth).withColumn("point", F.explode(F.lit(points))).join(hits, ["point", "s1_id"], "left").fillna(0, ["n_pred", "tp"])
+    return every.groupBy("point").agg(F.round(F.avg(measure(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("macro_f05"))
+
+
+def tune_rules(best: DataFrame, truth: DataFrame, entities: DataFrame, threshold: float) -> tuple[float | None, float | None]:
+    """The support threshold that helps most, if any does, and after it the lone one."""
+    plain = rule_sweep(best, truth, entities, threshold, lones=[0.0]).first()["macro_f05"]
+    support, score = None, plain
+    lower = [t for t in grid(0.30, 0.95, 0.05) if t < threshold]
+    if lower:
+        top = max(rule_sweep(best, truth, entities, threshold, supports=lower).collect(), key=lambda r: (r["macro_f05"], -r["point"]))
+        support, score = (top["point"], top["macro_f05"]) if top["macro_f05"] > score else (None, score)
+    upper = [t for t in grid(round(threshold + 0.01, 3), 0.994, 0.02) if t > threshold]
+    if upper:
+        top = max(rule_sweep(best, truth, entities, threshold, lones=upper, support=support).collect(), key=lambda r: (r["macro_f05"], -r["point"]))
+        return support, top["point"] if top["macro_f05"] > score else None
+    return support, None
+
+
 def recall_report(labelled: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), channels: tuple[str, ...] = ("name", "addr", "char")) -> DataFrame:
     """The share of true pairs found among the first k candidates: (channel, k, recall), UNION for any channel."""
     n = truth.select(F.count("*").alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchloom import schemas as S
@@ -512,22 +511,31 @@ def tuned_threshold(spark, sf):
 _RULE_GRID = [round(0.30 + 0.05 * i, 3) for i in range(5)]
 
 
-def _support_sql(support: float) -> str:
-    taken = f"prob >= {THRESHOLD} or (prob >= {support} and s1_id in (select s1_id from bc where prob >= {THRESHOLD}))"
-    hits = f"select s1_id, count(*) n_pred, count(*) filter (correct) tp from bc where {taken} group by 1"
+_LONE_GRID = [round(0.56 + 0.04 * i, 3) for i in range(8)]
+
+
+def _rule_sql(name: str, point: float, taken: str) -> str:
+    hits = f"select s1_id, count(*) n_pred, count(*) filter (correct) tp from ({taken}) group by 1"
     all_ = f"select n_true, coalesce(n_pred, 0) n_pred, coalesce(tp, 0) tp from en left join ({hits}) g using (s1_id)"
-    return f"select {support}::double support, round((select avg({O.measure()}) from ({all_})), 6) macro_f05"
+    return f"select {point}::double {name}, round((select avg({O.measure()}) from ({all_})), 6) macro_f05"
+
+
+def _supported(support: float) -> str:
+    return f"select * from bc where prob >= {THRESHOLD} or (prob >= {support} and s1_id in (select s1_id from bc where prob >= {THRESHOLD}))"
+
 
+def _not_lone(lone: float) -> str:
+    return f"select * from (select *, count(*) over (partition by s1_id) n from ({_supported(RULES['support'])})) where n > 1 or prob >= {lone}"
 
-@query(f"with {O.BLOCKED} " + " union all ".join(map(_support_sql, _RULE_GRID)))
+
+@query(f"with {O.BLOCKED} " + " union all ".join(_rule_sql("support", s, _supported(s)) for s in _RULE_GRID))
 def support_grid(spark, sf):
-    best, entities, true = owners(spark, sf)
-    of_entity = W.partitionBy("support", "s1_id")
-    rows = evaluate.correct(best, true).withColumn("support", F.explode(F.lit(_RULE_GRID)))
-    rows = rows.withColumn("_sup", F.max(F.col("prob") >= THRESHOLD).over(of_entity)).where((F.col("prob") >= THRESHOLD) | (F.col("_sup") & (F.col("prob") >= F.col("support"))))
-    hits = rows.groupBy("support", "s1_id").agg(F.count("*").alias("n_pred"), F.count_if("correct").alias("tp"))
-    points = evaluate.true_counts(entities, true).withColumn("support", F.explode(F.lit(_RULE_GRID))).join(hits, ["support", "s1_id"], "left").fillna(0, ["n_pred", "tp"])
-    return points.groupBy("support").agg(F.round(F.avg(evaluate.measure(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("macro_f05"))
+    return evaluate.rule_sweep(*swept(spark, sf), THRESHOLD, supports=_RULE_GRID).withColumnRenamed("point", "support")
+
+
+@query(f"with {O.BLOCKED} " + " union all ".join(_rule_sql("lone", s, _not_lone(s)) for s in _LONE_GRID))
+def lone_grid(spark, sf):
+    return evaluate.rule_sweep(*swept(spark, sf), THRESHOLD, lones=_LONE_GRID, support=RULES["support"]).withColumnRenamed("point", "lone")
 
 
 # ---------------------------------------------------------------- profile and samples

@@ -34,7 +34,7 @@ def files(spark, tiny, tmp_path_factory):
 def test_steps_in_order(spark, files, capsys):
     base = ["--data-dir", str(files / "data"), "--work-dir", str(files / "work"), "--query-frac", "1", "--rounds", "3"]
     for step in ("profile", "prepare", "train", "predict", "tune", "predict", "score"):
-        options = arguments().parse_args([step, *base, *(["--by-country"] if step == "tune" else [])])
+        options = arguments().parse_args([step, *base, *(["--by-country", "--rules"] if step == "tune" else [])])
         getattr(Steps(spark, options), step)()
     assert tables.read_settings(str(files / "work" / "settings.json"))["threshold_tuned"] is True
     lists = tables.read_tsv(spark, str(files / "work" / "output_train" / "matching_results"), S.GROUND_TRUTH).collect()

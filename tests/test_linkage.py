@@ -53,6 +53,14 @@ def test_sweep_equals_one_threshold_at_a_time(spark):
     assert evaluate.tune(best, true, entities) in [round(x * 0.005, 3) for x in range(1, 200)]
 
 
+def test_rules_are_kept_only_if_they_help(spark):
+    entities = spark.createDataFrame([(e, "x") for e in "abcd"], "entity_id string, country string")
+    best = spark.createDataFrame([("q1", "a", "x", 0.9), ("q2", "a", "x", 0.4), ("q3", "b", "x", 0.62), ("q4", "c", "x", 0.95)], BEST)
+    true = spark.createDataFrame([("a", "q1"), ("a", "q2"), ("c", "q4")], "s1_id string, query_id string")
+    assert evaluate.tune_rules(best, true, entities, 0.6) == (0.3, 0.63)
+    assert evaluate.tune_rules(best.where("query_id in ('q1', 'q4')"), true.where("query_id <> 'q2'"), entities, 0.6) == (None, None)
+
+
 def test_blocking_finds_the_owners_and_keeps_k(sides):
     entities, queries, true = sides
     linkage = Linkage(entities, queries)
