@@ -89,10 +89,10 @@ def alternate_names(c: Column) -> Column:
 
 def leet(c: Column) -> Column:
     """Digits that stand for letters inside a word."""
-    digits = "".join(S.LEET)
+    digits, spelled = "".join(S.LEET), c
     for digit, letter in S.LEET.items():
-        c = F.regexp_replace(c, rf"(?<=[a-z][{digits}]{{0,40}}){digit}(?=[{digits}]*[a-z])", letter)
-    return c
+        spelled = F.regexp_replace(spelled, rf"(?<=[a-z][{digits}]{{0,40}}){digit}(?=[{digits}]*[a-z])", letter)
+    return F.when(c.rlike(f"[a-z][{digits}]+[a-z]"), spelled).otherwise(c)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -117,11 +117,16 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 
 def is_legal_typo(t: Column) -> Column:
-    """A longer word that is nearly a legal form; lengths that can't reach the ratio need no table."""
-    return (F.length(t) >= 5) & functools.reduce(
-        lambda x, y: x | y,
-        [F.length(t).between(*_lengths(len(w))) & (indel_ratio(t, F.lit(w)) >= S.LEGAL_FUZZY_FROM) for w in S.LEGAL_LONG],
-    )
+    """A longer word that is nearly a legal form.
+
+    The table is only filled for words of a fitting length that share enough characters to reach the ratio."""
+
+    def near(w: str) -> Column:
+        shared = F.length(t) - F.length(F.translate(t, w, ""))
+        may = F.length(t).between(*_lengths(len(w))) & (200 * shared >= S.LEGAL_FUZZY_FROM * (F.length(t) + len(w)))
+        return F.when(may, indel_ratio(t, F.lit(w)) >= S.LEGAL_FUZZY_FROM).otherwise(F.lit(False))
+
+    return F.when(F.length(t) >= 5, functools.reduce(lambda x, y: x | y, [near(w) for w in S.LEGAL_LONG])).otherwise(F.lit(False))
 
 
 def _lengths(n: int) -> tuple[int, int]:
@@ -132,7 +137,7 @@ def _lengths(n: int) -> tuple[int, int]:
 def without_legal(toks: Column) -> Column:
     """Words less legal forms, and less near misses of them among the last two."""
     n = F.size(toks)
-    return F.filter(toks, lambda t, i: ~(t.isin(*S.LEGAL_WORDS) | ((i > 0) & (i >= n - 2) & is_legal_typo(t))))
+    return F.filter(toks, lambda t, i: ~(t.isin(*S.LEGAL_WORDS) | F.when((i > 0) & (i >= n - 2), is_legal_typo(t)).otherwise(F.lit(False))))
 
 
 def without_the(toks: Column) -> Column:
