@@ -140,20 +140,43 @@ def _sets(batch: pa.RecordBatch):
     return shingle_sets(t.as_buffer().to_pybytes() if t.is_valid else None for t in batch["text"].cast(pa.binary()))
 
 
-def _ranged(rows_of, ranges: int):
-    """Messages of (range, keys, of, nodes): shingles of many sets by range."""
+#: Stands for the sets of a message where several hold a shingle. Sets of a message are fewer.
+MANY = 2**16 - 1
+
+
+def _ranged(rows_of, ranges: int, once: bool = False):
+    """Messages of (range, keys, of, nodes): shingles of many sets by range.
+
+    With ``once`` a shingle that several sets of a message hold is in it once, held by MANY, so that no range gets more
+    of one shingle than there are messages. A message (None, counts, None, nodes) has how many of those each set has."""
     nodes, sets, total = [], [], 0
 
     def send():
         keys = np.concatenate(sets)
         of = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
         slot = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        keys, of, slot = keys[order], of[order], slot[order]
+        if once:  # equal is what the ranges take for equal: what a set has twice then isn't lost either
+            short = slot.astype(np.uint64) << np.uint64(8 * KEY) | keys & np.uint64(2 ** (8 * KEY) - 1)
+            order = np.argsort(short)
+            short, of = short[order], of[order]
+            starts = np.concatenate([[0], np.flatnonzero(short[1:] != short[:-1]) + 1])
+            many = np.diff(np.append(starts, len(short))) > 1
+            counts = np.bincount(of[np.repeat(many, np.diff(np.append(starts, len(short))))], minlength=len(sets))
+            of[starts[many]] = MANY
+            order, of = order[starts], of[starts]
+            keys, slot = keys[order], slot[order]
+            if counts.any():
+                yield None, counts[counts > 0], None, np.array(nodes, np.uint64)[counts > 0]
+        else:
+            order = np.argsort(slot, kind="stable")
+            keys, of, slot = keys[order], of[order], slot[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
         for a, b in zip(cuts, cuts[1:]):
-            used, local = np.unique(of[a:b], return_inverse=True)
-            yield int(slot[a]), keys[a:b], local, np.array([nodes[u] for u in used], np.uint64)
+            one = of[a:b] != MANY
+            used, local = np.unique(of[a:b][one], return_inverse=True)
+            held = np.full(b - a, MANY)
+            held[one] = local
+            yield int(slot[a]), keys[a:b], held, np.array([nodes[u] for u in used], np.uint64)
 
     for node, s in rows_of:
         nodes.append(node)
@@ -178,6 +201,8 @@ def signed(x: int) -> int:
 #: one that is taken for shared only keeps a set for the next step. Bytes of a node's name, of which no two are
 #: expected to be equal among less than ten million; a pair of them would have to link besides.
 KEY, NAME = 5, 6
+#: Bits beside a shingle in 64: so many sets of a range can be told apart in one number with it.
+BESIDE = 64 - 8 * KEY
 
 
 def _low(x: np.ndarray, width: int) -> bytes:
@@ -213,7 +238,10 @@ def _messages(docs: DataFrame, ranges: int) -> DataFrame:
                 part, held[:] = held[:10_000], held[10_000:]
                 yield pa.RecordBatch.from_pylist([{"slot": node % ranges, "doc_id": d, "n": n, "node": signed(node)} for d, n, node in part], ROW)
 
-        for slot, keys, local, nodes in _ranged(documents(), ranges):
+        for slot, keys, local, nodes in _ranged(documents(), ranges, once=True):
+            if slot is None:
+                yield pa.RecordBatch.from_pylist([{"slot": int(nodes[0]) % ranges, "nodes": _low(nodes, NAME), "counts": keys.astype(np.uint32).tobytes()}], ROW)
+                continue
             yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": _low(keys, KEY), "of": local.astype(np.uint16).tobytes(), "nodes": _low(nodes, NAME)}], ROW)
             if len(held) >= 10_000:
                 yield from rows()
@@ -222,27 +250,42 @@ def _messages(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROW_SQL)
 
 
+def _shared(keys: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """For each of ``owners`` how many of its keys another one has too. Pairs of a key and an owner may repeat."""
+    if owners <= 1 << BESIDE:
+        pairs = np.unique(keys << np.uint64(BESIDE) | owner.astype(np.uint64))
+        keys, owner = pairs >> np.uint64(BESIDE), (pairs & np.uint64(2**BESIDE - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
+        keys, owner = keys[first], owner[first]
+    same = keys[1:] == keys[:-1]
+    return np.bincount(owner[np.concatenate([[False], same]) | np.concatenate([same, [False]])], minlength=owners)
+
+
 def _count_shared(buckets: int):
-    """Of one range: its documents' rows, and for each node how many of its shingles another node has too, by bucket of nodes."""
+    """Of one range: its documents' rows, and for each node how many of its shingles another node has too, by bucket of nodes.
+
+    A copy of a set in another partition may count what its messages shared once more; that only keeps a set."""
 
     def run(group: pa.Table) -> pa.Table:
-        plain = group.filter(pc.is_null(group["keys"]))
         messages = group.filter(pc.is_valid(group["keys"]))
-        out = [plain]
-        if messages.num_rows:
-            keys = np.concatenate([_wide(k.as_py(), KEY) for k in messages["keys"]])
-            of, nodes, at = [], [], 0
+        counted = group.filter(pc.is_valid(group["counts"]))
+        out = [group.filter(pc.is_valid(group["node"]))]
+        if messages.num_rows or counted.num_rows:
+            of, names, at = [np.zeros(0, np.int64)], [], 0
             for o, n in zip(messages["of"], messages["nodes"]):
-                of.append(np.frombuffer(o.as_py(), np.uint16).astype(np.int64) + at)
-                nodes.append(_wide(n.as_py(), NAME))
-                at += len(nodes[-1])
-            nodes, dense = np.unique(np.concatenate(nodes), return_inverse=True)
-            keys <<= np.uint64(24)
-            keys |= dense[np.concatenate(of)].astype(np.uint64)
-            pairs = np.unique(keys)
-            same = pairs[1:] >> np.uint64(24) == pairs[:-1] >> np.uint64(24)
-            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            counts = np.bincount((pairs[shared] & np.uint64(2**24 - 1)).astype(np.int64), minlength=len(nodes))
+                of.append(np.frombuffer(o.as_py(), np.uint16).astype(np.int64))
+                of[-1] = np.where(of[-1] == MANY, -1, of[-1] + at)
+                names.append(_wide(n.as_py(), NAME))
+                at += len(names[-1])
+            names += [_wide(n.as_py(), NAME) for n in counted["nodes"]]
+            keys = np.concatenate([np.zeros(0, np.uint64), *(_wide(k.as_py(), KEY) for k in messages["keys"])])
+            before = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(c.as_py(), np.uint32) for c in counted["counts"])])
+            nodes, dense = np.unique(np.concatenate(names), return_inverse=True)
+            owner = np.append(dense, len(nodes))[np.concatenate(of)]  # MANY is one more, unlike any node
+            counts = _shared(keys, owner, len(nodes) + 1)[:-1] + np.bincount(dense[at:], before, minlength=len(nodes)).astype(np.int64)
             bucket = (nodes % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(bucket[counts > 0]):
                 own = (bucket == b) & (counts > 0)
@@ -405,7 +448,7 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` its doc_id, n and node (the name of its set), and edges that connect all nodes that link."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(LEAST_RANGES, -(-int(size) // (6 * RANGE)))
+    ranges = min(1 << BESIDE, max(LEAST_RANGES, -(-int(size) // (6 * RANGE))))
     with arrow_rows(spark, DOCS):
         counted = _messages(docs, ranges).groupBy("slot").applyInArrow(_count_shared(ranges), ROW_SQL)
         counted = settled(counted)

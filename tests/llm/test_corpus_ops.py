@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -257,6 +258,41 @@ def test_jaccard_join_edge_cases(odd_docs, no_docs):
     assert jaccard_join(no_docs).count() == 0
 
 
+def test_more_sets_of_a_shingle_than_fit_beside_it():
+    from matchloom.llm import jaccard_join as J
+
+    n, part = 2**24 + 1000, 50_000
+    messages = []
+    for at in range(0, n, part):
+        nodes = np.arange(at, min(at + part, n), dtype=np.uint64)
+        messages.append({"slot": 0, "keys": J._low(np.full(len(nodes), 77, np.uint64), J.KEY), "of": np.arange(len(nodes), dtype=np.uint16).tobytes(), "nodes": J._low(nodes, J.NAME)})
+    found = J._count_shared(1)(pa.Table.from_pylist(messages, J.ROW))
+    assert sum(len(x.as_py()) // J.NAME for x in found["nodes"]) == n
+    assert all((np.frombuffer(x.as_py(), np.uint32) == 1).all() for x in found["counts"])
+
+
+@pytest.mark.parametrize("beside", [24, 1])
+def test_shared_shingles_are_sent_once_and_counted_for_all(monkeypatch, beside):
+    from matchloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "MESSAGE", 60)
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 60, 12).astype(np.uint64) * np.uint64(2**58 + 12345)) for _ in range(40)]
+    rows, most = [], 0
+    for slot, keys, of, nodes in J._ranged(((i + 1, s) for i, s in enumerate(sets)), 1, once=True):
+        if slot is None:
+            rows.append({"slot": 0, "nodes": J._low(nodes, J.NAME), "counts": keys.astype(np.uint32).tobytes()})
+        else:
+            most = max(most, np.unique(keys, return_counts=True)[1].max())
+            rows.append({"slot": 0, "keys": J._low(keys, J.KEY), "of": of.astype(np.uint16).tobytes(), "nodes": J._low(nodes, J.NAME)})
+    monkeypatch.setattr(J, "BESIDE", beside)
+    found = J._shared_counts(J._count_shared(3)(pa.Table.from_pylist(rows, J.ROW)))
+    got = dict(zip(found["name"].to_pylist(), found["shared"].to_pylist()))
+    assert most == 1
+    for i, s in enumerate(sets):
+        assert got.get(i + 1, 0) == sum(any(k in o for j, o in enumerate(sets) if j != i) for k in s)
+
+
 def test_words_are_hashed_alike_in_slices_and_whole(monkeypatch):
     from matchloom.llm import shingles as H
 
