@@ -466,33 +466,68 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, join_regions(sets.select("node", "shingles"), regions)
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+def _named(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` doc_id, n, node (the name of its set), comp (of its component) and component_id.
 
-    A null text or one without words has no shingles and links with nothing; one of fewer than five words is one
-    shingle. Rows with equal sets are in one component; a component is named by its smallest id, nulls aside.
-    A row without id gets its component's name, null if there is none. Other columns are ignored."""
+    A row without shingles is a component of its own: comp is null."""
     rows, edges = linked_sets(docs)
     comp = components(edges)
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("comp"))
     least = nodes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = nodes.join(least, "comp").select("node", "component_id")
-    found = rows.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = nodes.join(least, "comp").select("node", "comp", "component_id")
+    found = rows.where("n > 0").join(named, "node").select("doc_id", "n", "node", "comp", "component_id")
+    return found.unionByName(rows.where("n = 0").select("doc_id", "n", "node", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id")))
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    A null text or one without words has no shingles and links with nothing; one of fewer than five words is one
+    shingle. Rows with equal sets are in one component; a component is named by its smallest id, nulls aside.
+    A row without id gets its component's name, null if there is none. Other columns are ignored."""
+    return _named(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def _with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` as a struct ``row``, with the name of the set of its text as ``node``."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = pa.array([signed(set_id(s)) for s in _sets(batch)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "node"])
+
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, text string, node long")
+
+
 def near_duplicates_dropped(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component: of each group of near copies the document with the smallest id.
 
-    Rows without an id stay; of rows that repeat an id and a text one stays."""
-    kept = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    Rows without an id stay; of rows that repeat an id and a text one stays. Rows that repeat an id with unlinked texts
+    are in different groups, each of which keeps its own; of a group's rows with one id the least set's and text stays."""
+    named = settled(_named(docs).where("doc_id is not null").select("doc_id", "node", "comp", "component_id"))
+    no_id, with_id = docs.where("doc_id is null"), docs.where("doc_id is not null")
+    naming = named.where("doc_id = component_id")
+    repeated = settled(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = naming.select("doc_id").distinct()
+    if not repeated.limit(1).count():
+        return with_id.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(no_id)
+    once = with_id.join(repeated, "doc_id", "left_anti").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # Rows of one id are told apart by their sets.
+    chosen = naming.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.*")
+    chosen = chosen.unionByName(naming.where("comp is null").select("doc_id", "node").distinct())
+    chosen = chosen.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    some = _with_node(with_id.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    some = some.join(chosen, (F.col("row.doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")))
+    # Texts without words are no copies of each other: each stays once.
+    some = some.groupBy("_id", "node", F.when(F.col("node") == signed(set_id(np.zeros(0, np.uint64))), F.col("text")).alias("own"))
+    some = some.agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return once.unionByName(some).unionByName(no_id)
 
 
 OP4_SQL = r"""

@@ -258,6 +258,18 @@ def test_jaccard_join_edge_cases(odd_docs, no_docs):
     assert jaccard_join(no_docs).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_decided_one_by_one(spark):
+    from matchloom.llm.jaccard_join import near_duplicates_dropped
+
+    r = random.Random(9)
+    a, b, c = (" ".join(word(r) for _ in range(60)) for _ in range(3))
+    near = c + " tail"
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (6, a.upper(), "x"), (3, c, "x"), (5, near, "x"), (8, near, "x"), (7, None, "x"), (7, "", "x"), (7, "", "x"), (2, "own words only here now", "x"), (None, a, "x")]
+    kept = near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    whole = [(5, a), (5, b), (3, c), (7, None), (7, ""), (2, "own words only here now"), (None, a)]
+    assert sorted(repr((k["doc_id"], k["text"])) for k in kept) == sorted(map(repr, whole))
+
+
 def test_more_sets_of_a_shingle_than_fit_beside_it():
     from matchloom.llm import jaccard_join as J
 
