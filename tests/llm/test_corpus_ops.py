@@ -305,6 +305,20 @@ def test_shared_shingles_are_sent_once_and_counted_for_all(monkeypatch, beside):
         assert got.get(i + 1, 0) == sum(any(k in o for j, o in enumerate(sets) if j != i) for k in s)
 
 
+def test_shingles_of_one_set_that_look_alike_count_each():
+    from matchloom.llm import jaccard_join as J
+
+    alike = np.array([5, 5 + 2**41], np.uint64)  # one range, equal in the bits that travel
+    rows = []
+    for node, more in ((1, 70), (2, 90)):  # two partitions
+        for slot, keys, of, nodes in J._ranged([(node, np.append(alike, np.uint64(more)))], 1, once=True):
+            row = {"slot": 0, "nodes": J._low(nodes, J.NAME)}
+            row |= {"counts": keys.astype(np.uint32).tobytes()} if slot is None else {"keys": J._low(keys, J.KEY), "of": of.astype(np.uint16).tobytes()}
+            rows.append(row)
+    found = J._shared_counts(J._count_shared(1)(pa.Table.from_pylist(rows, J.ROW)))
+    assert dict(zip(found["name"].to_pylist(), found["shared"].to_pylist())) == {1: 2, 2: 2}
+
+
 def test_words_are_hashed_alike_in_slices_and_whole(monkeypatch):
     from matchloom.llm import shingles as H
 
