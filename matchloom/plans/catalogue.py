@@ -602,5 +602,5 @@ def gbt_matches(spark, sf):
     """The linkage with the trained classifier: half A's records train it, all are scored."""
     raw = records(spark, sf)
     linkage = Linkage(raw.where("src = 1").drop("src"), raw.where("src > 1").drop("src"))
-    fitted = model.train(linkage.training_pairs(truth(raw), share=1.0), trees=8, depth=5)
+    fitted = model.train(linkage.training_pairs(truth(raw), share=1.0))
     return linkage.decide(linkage.score(fitted), 0.5)

@@ -133,3 +133,19 @@ def test_word_idf_is_capped(spark):
     entities = spark.createDataFrame([("S1-1", "a b b"), ("S1-2", "a c")], "entity_id string, name_main string")
     idf = {r["token"]: round(r["idf"], 6) for r in features.word_idf(entities).collect()}
     assert idf == {"a": round(__import__("math").log(2 / 3), 6), "b": 0.0, "c": 0.0}
+
+
+def test_the_registered_classifier_has_the_operators_own_size(spark, tiny, monkeypatch):
+    from matchloom.operators import model
+    from matchloom.plans import catalogue
+
+    class Asked(Exception):
+        pass
+
+    def train(pairs, **options):
+        raise Asked(options)
+
+    monkeypatch.setattr(model, "train", train)
+    with pytest.raises(Asked) as asked:
+        catalogue.gbt_matches(spark, tiny)
+    assert asked.value.args == ({},)
