@@ -10,6 +10,7 @@ two layers, trained by numpy, gives log odds, and a temperature fitted on rows s
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -195,22 +196,33 @@ def fold(doc_id: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
     """A model of ``labels`` (doc_id, quality) on the texts of ``docs``, from ``rows`` labelled rows and ``size`` bytes at most.
 
-    Only documents outside the held-out fold are seen. Without any such row every score is one half."""
+    Only documents outside the held-out fold are seen, in the order of a hash; one that doesn't fit in what is left of
+    ``size`` is passed over. Without any such row every score is one half; if there are some, but each alone is longer
+    than ``size``, there is a warning besides."""
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(SEED))
-    some = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(known, "doc_id").orderBy(order, "size").limit(rows).collect()
-    chosen, total = {}, 0
-    for r in some:
-        total += r["size"] if r["doc_id"] not in chosen else 0
-        if total > size:
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(known, "doc_id").withColumn("_at", order)
+    chosen, left, after, longest = {}, size, None, 0
+    while len(chosen) < rows:  # what doesn't fit in what is left is passed over, so one turn nearly always does
+        small = sizes.where(F.col("size") <= left)
+        if after is not None:
+            small = small.where(F.col("_at") > after)
+        some = small.orderBy("_at", "size").limit(rows).collect()
+        for r in some:
+            if r["doc_id"] not in chosen and r["size"] <= left and len(chosen) < rows:
+                chosen[r["doc_id"]] = r["quality"]
+                left -= r["size"]
+                longest = max(longest, r["size"])
+        if len(some) < rows:
             break
-        chosen[r["doc_id"]] = r["quality"]
+        after = some[-1]["_at"]
+    if not chosen and sizes.limit(1).count():
+        warnings.warn(f"all labelled texts outside the held-out fold are longer than {size} bytes: nothing is learnt, every score is one half")
     if not chosen:
         return Model({}, {}, np.zeros((1, DIMS), np.float32), np.zeros((1, DIMS), np.float32), np.zeros(2 * DIMS + 10), np.ones(2 * DIMS + 10), [np.zeros((2 * DIMS + 10, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
     ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
-    longest = max(r["size"] for r in some if r["doc_id"] in chosen)
     found = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(ids, "doc_id").select("doc_id", "text").collect()
     texts = dict(sorted(((r["doc_id"], r["text"]) for r in found), key=lambda x: (x[0], x[1] or "")))
     mix = sorted(texts, key=lambda i: (hash((i, SEED)), i))

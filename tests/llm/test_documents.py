@@ -161,6 +161,26 @@ def test_quality_without_rows_or_labels(spark):
     assert {r["score"] for r in classify_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_passes_over_labelled_texts_that_do_not_fit(spark, monkeypatch):
+    from matchloom.llm import quality as Q
+    from pyspark.sql import functions as F
+
+    docs, labels = quality_tables(spark, 60)
+    big = [(20_000 + i, "much " * 2000, "en", "s", 1, "clash") for i in range(200)]
+    big, marks = spark.createDataFrame(big, docs.schema), spark.createDataFrame([(r[0], 1, 0) for r in big], labels.schema)
+    both, known = docs.unionByName(big), labels.unionByName(marks)
+    seen, fit = [], Q.fit
+    monkeypatch.setattr(Q, "fit", lambda texts, labels: seen.extend(texts) or fit(texts, labels))
+    Q.fit_quality(both, known, rows=150, size=55_000)
+    usable = both.join(known.where("quality in (0, 1)"), "doc_id").where(Q.fold(F.col("doc_id")) != 0).collect()
+    taken = set(seen)
+    left = 55_000 - sum(len(t) for t in seen)
+    assert 0 <= left < min(len(r["text"]) for r in usable if r["text"] not in taken or r["text"].startswith("much much"))
+    assert sum(not t.startswith("much") for t in seen) > 10
+    with pytest.warns(UserWarning, match="longer than 9000 bytes"):
+        assert not Q.fit_quality(big, marks, size=9000).words
+
+
 def test_temperature_softens_overconfident_odds():
     from matchloom.llm.quality import fitted_temperature
 
