@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set, as in tests."""
+    """The shared folder of the session. Where none is set, one of our own in local mode; on a cluster that is an error."""
     ship(spark)
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="matchloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc.getCheckpointDir():
@@ -36,6 +39,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, kept in the shared folder: lineage is cut and no later step computes them again."""
     checkpoint_dir(df.sparkSession)

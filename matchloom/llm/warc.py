@@ -2,9 +2,11 @@
 
 Records are written by Spark's text writer with the blank line that ends a WARC record as its line separator, so
 archives are plain files on any file system that Spark writes to, and a lost task is simply written again. Each
-archive is parsed by one task, which sorts its captures by URL key and time: a run. The runs are merged as
-external sorting does it: the key space is cut into ranges, and in each range the pieces of the k runs meet in a
-loser tree that always yields the least key, with one comparison a level.
+archive is parsed by one task, which sorts its captures by URL key and time: a run, kept as a table. The runs are
+merged as external sorting does it: the key space is cut into ranges of a bounded number of captures, and in each
+range the pieces of the k runs meet in a loser tree that always yields the least key, with one comparison a level.
+Captures leave the merge in global order, numbered within the history of their URL key; what a range must know of
+the ones before it is a number for its first key.
 """
 
 from __future__ import annotations
@@ -16,18 +18,24 @@ import re
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import removed, scratch, settled, table
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_FROM = 100
-#: The time of captures that have none: this second of the epoch plus their id.
-FIRST_SECOND = 1_600_000_000
+#: The time of captures that have none: this second of the epoch plus their id, within this many seconds.
+FIRST_SECOND, SECONDS = 1_600_000_000, 1_000_000_000
+#: The last second that a date of four digits in the year can say.
+LAST_SECOND = 253_402_300_799
+#: Records of an archive, and captures of a range of the merge on average: what a task holds at once.
+ARCHIVE, RANGE = 10_000, 100_000
 
 
 def url_key(url: Column) -> Column:
@@ -79,15 +87,17 @@ def record(page_id: Column, url: Column, at: Column, payload: Column, digest: Co
 def write_archives(pages: DataFrame, path: str, fetched: str | None = None) -> None:
     """Write ``pages`` (page_id, url, html) as archives under ``path``. ``fetched``: a column of seconds since 1970, if there is one.
 
-    Each partition becomes an archive; payloads are shuffled once at most, by the join on digests."""
-    made_up = F.lit(FIRST_SECOND) + F.coalesce(F.col("page_id"), F.lit(0))
+    Each partition becomes archives of ARCHIVE records at most; payloads are shuffled once at most, by the join on
+    digests. Times outside the years 1970 to 9999 are moved to the nearest in them."""
+    made_up = F.lit(FIRST_SECOND) + F.coalesce(F.pmod(F.col("page_id"), F.lit(SECONDS)), F.lit(0))
     at = F.coalesce(F.col(fetched), made_up) if fetched else made_up
+    at = F.least(F.greatest(at.cast("long"), F.lit(0)), F.lit(LAST_SECOND))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", at.cast("long").alias("at"), payload.alias("payload"))
+    rows = pages.select("page_id", "url", at.alias("at"), payload.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     rows = deduplicated(rows)
     text = record(*[F.col(c) for c in ("page_id", "url", "at", "payload", "payload_digest", "record_type", "refers_to")])
-    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE).text(path)
 
 
 def parse(archive: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -176,60 +186,93 @@ class LoserTree:
             self.climb(i)
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
-    """The captures of all runs in one order of (url_key, at, page_id), partition by partition.
+KEYS = ("url_key", "at", "page_id", "archive", "place")
 
-    The key is whole (ties end at the archive and the place in it), so a host or URL that holds a third of all
-    captures is spread over ranges as any other. Within a range the rows of each run come in their order."""
-    spark = captures.sparkSession
-    keys = ["url_key", "at", "page_id", "archive", "place"]
-    ranges = captures.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-    order = [captures.columns.index(c) for c in keys]
 
-    def merged(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        if not rows:
-            return
-        runs: dict[str, list] = {}
-        for r in rows:
-            key = tuple((r[i] is not None, r[i]) if r[i] is not None else (False,) for i in order)
-            runs.setdefault(r[order[3]], []).append((key, r))
-        for run in runs.values():
-            if any(a[0] > b[0] for a, b in zip(run, run[1:])):
-                run.sort(key=lambda pair: pair[0])  # blocks of a run may arrive out of turn
-        out = [pair[1] for pair in LoserTree([iter(run) for run in runs.values()])]
-        for start in range(0, len(out), 10_000):
-            columns = zip(*out[start : start + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema.names)
+def run_cursor(rows: pa.Table, own: np.ndarray) -> Iterator[tuple]:
+    """The keys of the rows ``own`` of a run, each with its row, a thousand at a time. Null numbers come first."""
+    for first in range(0, len(own), 1000):
+        at = own[first : first + 1000]
+        url, time, page_id, archive, place = (rows[c].take(pa.array(at)).to_pylist() for c in KEYS)
+        for key in zip(url, time, page_id, archive, place, at.tolist()):
+            yield (*(x for v in key[:3] for x in ((v is not None), v if v is not None else 0)), *key[3:])
+
 
-    from pyspark.sql.pandas.types import to_arrow_schema
+def merged_range(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of one range by a loser tree over its runs, and each row's number within its URL key.
 
-    schema = to_arrow_schema(captures.schema)
-    return ranges.mapInArrow(merged, captures.schema)
+    Blocks of a run may arrive out of turn, so they are put in sequence run by run first."""
+    by_run = pc.sort_indices(rows, [(c, "ascending") for c in ("archive", *KEYS[:3], "place")], null_placement="at_start").to_numpy()
+    run = pc.dictionary_encode(rows["archive"].combine_chunks()).indices.to_numpy()
+    pieces = np.split(by_run, np.flatnonzero(np.diff(run[by_run])) + 1)
+    order, visit = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    url, n = None, 0
+    for i, key in enumerate(LoserTree([run_cursor(rows, own) for own in pieces])):
+        n = n + 1 if key[:2] == url else 1
+        url, order[i], visit[i] = key[:2], key[-1], n
+    return order, visit
 
 
-def capture_history(index: DataFrame) -> DataFrame:
-    """``index`` with ``visit``, the number of a capture in the history of its URL key, and the time since the one before.
+def merge_runs(captures: DataFrame) -> DataFrame:
+    """The captures of all runs in one order of (url_key, at, page_id), partition by partition, with ``visit``.
+
+    ``visit`` numbers the captures of a URL key from 1. The key is whole (ties end at the archive and the place in
+    it), so a host or URL that holds a third of all captures is spread over ranges as any other; ranges hold RANGE
+    captures on average. A key that goes on in further ranges is counted there from what earlier ranges hold of it,
+    by a table of one row per range."""
+    runs = settled(captures)
+    ranges = runs.repartitionByRange(max(1, -(-runs.count() // RANGE)), *KEYS)
+
+    def merge(batches):
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        order, visit = merged_range(rows)
+        part = pa.array(np.full(len(order), TaskContext.get().partitionId(), np.int32))
+        rows = rows.take(pa.array(order)).append_column("visit", pa.array(visit)).append_column("range", part)
+        yield from rows.to_batches(10_000)
+
+    merged = settled(ranges.mapInArrow(merge, CAPTURE + ", visit long, range int"))
+    ends = merged.groupBy("range").agg(F.min("url_key").alias("first"), F.max("url_key").alias("last"), F.max_by("visit", F.struct("url_key", "visit")).alias("n"))
+    before = carried([(r["range"], r["first"], r["last"], r["n"]) for r in ends.collect()])
+    if not before:
+        return merged.drop("range")
+    spark = captures.sparkSession
+    more = F.broadcast(spark.createDataFrame(before, "range int, url_key string, _before long"))  # a row per range at most
+    joined = merged.join(more, ["range", "url_key"], "left")
+    return joined.select(*[c for c in captures.columns], (F.col("visit") + F.coalesce("_before", F.lit(0))).alias("visit"))
+
 
-    Histories are read off neighbours in the order; the window of one URL key spills to disk if it is long."""
-    history = W.partitionBy("url_key").orderBy("at", "page_id", "place")
-    return index.withColumn("visit", F.row_number().over(history))
+def carried(ends: list[tuple]) -> list[tuple]:
+    """Of ranges in order (range, first key, last key, captures of the last): what earlier ranges hold of the first key."""
+    out, key, held = [], None, 0
+    for range_, first, last, n in sorted(ends):
+        if first == key:
+            out.append((range_, first, held))
+        held = held + n if last == key else n
+        key = last
+    return out
 
 
 def archived_index(pages: DataFrame, path: str | None = None, fetched: str | None = None) -> DataFrame:
-    """Write ``pages`` as archives, read them back and merge their runs: one row per page.
+    """Write ``pages`` as archives, read them back and merge their runs: one row per page, with ``visit``.
 
+    The archives stay at ``path``; without one they go to a scratch folder and are deleted once they are indexed.
     A null html is an empty payload; a null url has the key ``)/``; a null id stays null. Repeated rows are
     records of their own. Other columns are ignored; an empty table gives no rows."""
     spark = pages.sparkSession
-    path = path or scratch(spark, "warc")
-    write_archives(pages, path, fetched)
-    return merge_runs(read_archives(spark, path))
+    to = path or scratch(spark, "warc")
+    write_archives(pages, to, fetched)
+    index = merge_runs(read_archives(spark, to))
+    if path is None:
+        removed(spark, to)  # runs and index are tables of their own by now
+    return index
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archived_index(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("at").alias("captured"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("at").alias("captured"), "visit")
 
 
 OP2_SQL = r"""
@@ -238,11 +281,12 @@ d as (select *, octet_length(payload)::bigint payload_bytes, sha256(payload) pay
 f as (select payload_digest, min(page_id) first_id, count(*) n from d group by 1),
 u as (select page_id, regexp_replace(regexp_replace(lower(coalesce(url, '')), '#.*$', ''), '^[a-z][a-z0-9+.-]*://', '') s from p),
 h as (select page_id, regexp_replace(regexp_replace(regexp_extract(s, '^([^/?]*)', 1), '^(?:[^@]*@)?(?:www[0-9]*\.)?', ''), ':[0-9]*$', '') host,
-      regexp_extract(s, '^[^/?]*(.*)$', 1) rest from u)
+      regexp_extract(s, '^[^/?]*(.*)$', 1) rest from u),
+k as (select page_id, concat(array_to_string(list_reverse(string_split(host, '.')), ','), ')', case when rest = '' then '/' else rest end) url_key,
+      1600000000 + (page_id % 1000000000 + 1000000000) % 1000000000 captured from h)
 select d.page_id, payload_bytes, d.payload_digest,
   case when n > 1 and payload_bytes >= 100 and d.page_id <> first_id then 'revisit' else 'response' end record_type,
   case when n > 1 and payload_bytes >= 100 and d.page_id <> first_id then first_id end refers_to,
-  concat(array_to_string(list_reverse(string_split(host, '.')), ','), ')', case when rest = '' then '/' else rest end) url_key,
-  1600000000 + d.page_id captured
-from d join f using (payload_digest) join h on h.page_id = d.page_id
+  url_key, captured, row_number() over (partition by url_key order by captured, d.page_id) visit
+from d join f using (payload_digest) join k on k.page_id = d.page_id
 """

@@ -48,6 +48,35 @@ def test_archives_round_trip(spark, pages, tmp_path):
     assert archived_index(pages.limit(0)).count() == 0
 
 
+def test_large_ids_long_texts_and_clashing_columns(spark):
+    from matchloom.llm.warc import archived_index
+
+    long_text = "line of a very long page \r\n\r\n" * 40_000
+    ids = [2**63 - 1, 9 * 10**18, -(2**63), -5, 0, 10**13]
+    rows = [(i, "http://hot.org/x", long_text if i == 0 else f"page {i}", "x", b"y", 3) for i in ids] * 2
+    got = archived_index(spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, payload binary, at int")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == sorted((i, len(html.encode())) for i, _, html, *_ in rows)
+    assert [r["visit"] for r in got] == list(range(1, 13)) and all(0 <= r["at"] for r in got)
+    far = spark.createDataFrame([(1, "http://a.b", "x", 2**62), (2, "http://a.b", "x", -(2**62)), (3, "http://a.b", "x", None)], "page_id long, url string, html string, at long")
+    assert {r["page_id"]: r["at"] for r in archived_index(far, fetched="at").collect()} == {1: 253_402_300_799, 2: 0, 3: 1_600_000_003}
+
+
+def test_histories_go_on_from_range_to_range(spark, monkeypatch):
+    from matchloom.llm import warc
+
+    monkeypatch.setattr(warc, "RANGE", 40)
+    monkeypatch.setattr(warc, "ARCHIVE", 7)
+    rows = [(i, "http://hot.org/x" if i % 3 else f"http://h{i % 5}.org/", f"page {i}") for i in range(600)]
+    got = warc.archived_index(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+    order = sorted((("org,hot)/x" if i % 3 else f"org,h{i % 5})/"), 1_600_000_000 + i, i) for i, _, _ in rows)
+    assert [(r["url_key"], r["at"], r["page_id"]) for r in got] == order
+    seen = {}
+    for r in got:
+        seen[r["url_key"]] = seen.get(r["url_key"], 0) + 1
+        assert r["visit"] == seen[r["url_key"]]
+    assert warc.carried([(0, "a", "b", 2), (1, "b", "b", 5), (2, "b", "c", 1), (3, "d", "d", 1)]) == [(1, "b", 2), (2, "b", 7)]
+
+
 def test_loser_tree_merges_sorted_runs():
     from matchloom.llm.warc import LoserTree
 
