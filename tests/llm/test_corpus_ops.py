@@ -395,6 +395,29 @@ def test_hamming_search_is_exact(spark, monkeypatch):
     assert len(H.top_k(table.where("vec_id < 3"), asked.where("vec_id = 0")).collect()) == 2
 
 
+def test_hamming_search_of_odd_rows(spark):
+    from matchloom.llm.hamming_search import top_k
+
+    a, b, c = bytes(8), b"\x01" + bytes(7), b"\x07" + bytes(7)
+    rows = [(1, a, 9), (1, c, 9), (2, b, 9), (2, b, 9), (3, c, 9), (None, a, 9), (4, None, 9), (5, bytes(16), 9)]  # id 1 has two codes
+    table = spark.createDataFrame(rows, "vec_id long, code binary, rank int")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in top_k(table, table, 5).collect()}
+    assert got == {(1, 1): (2, 1), (1, 2): (3, 3), (2, 1): (1, 1), (2, 2): (3, 2), (3, 1): (2, 2), (3, 2): (1, 3)}
+
+
+def test_a_bound_ends_a_search_without_losing_ties():
+    from matchloom.llm.hamming_search import MultiIndex
+
+    draw = np.random.default_rng(7)
+    words = draw.integers(0, 2**63, (300, 1), dtype=np.uint64)
+    index = MultiIndex(words, np.ones(300, np.int64), np.arange(300))
+    for q in words[:20]:
+        codes, far = index.nearest(q, 300)
+        for bound in (0, 20, 27, 64):
+            few, near = index.nearest(q, 300, bound)
+            assert few.tolist() == codes[far <= bound].tolist() and near.tolist() == far[far <= bound].tolist()
+
+
 def test_sign_codes_leave_out_what_is_no_vector(vectors):
     from matchloom.llm.hamming_search import sign_codes
 
