@@ -223,8 +223,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, siz
     if not chosen:
         return Model({}, {}, np.zeros((1, DIMS), np.float32), np.zeros((1, DIMS), np.float32), np.zeros(2 * DIMS + 10), np.ones(2 * DIMS + 10), [np.zeros((2 * DIMS + 10, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
     ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
-    found = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(ids, "doc_id").select("doc_id", "text").collect()
-    texts = dict(sorted(((r["doc_id"], r["text"]) for r in found), key=lambda x: (x[0], x[1] or "")))
+    found = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(ids, "doc_id")
+    texts = {r["doc_id"]: r["text"] for r in found.groupBy("doc_id").agg(F.max("text").alias("text")).collect()}  # one of rows that repeat an id
     mix = sorted(texts, key=lambda i: (hash((i, SEED)), i))
     return fit([texts[i] for i in mix], [chosen[i] for i in mix])
 
