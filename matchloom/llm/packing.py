@@ -23,8 +23,8 @@ from .common import settled, table
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Slices of the pieces of one length: the ranks of a very common length are counted in so many parts.
-SLICES = 256
+#: Pieces of one slice on average, if all had one length: the ranks of a very common length are counted in such parts.
+SLICE = 100_000
 
 
 class CapacityTree:
@@ -141,8 +141,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The plan that goes to all tasks has a size bound by the capacity alone, whatever the number of pieces."""
     spark = pieces.sparkSession
     pieces = settled(pieces)
-    slices = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int")
-    keyed = pieces.withColumn("_slice", slices)
+    slices = max(256, -(-pieces.count() // SLICE))
+    # The partition of the kept table is in the hash, so that rows that repeat an id are spread too.
+    keyed = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(slices)).cast("int"))
     counts = keyed.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     plan = best_fit_plan(histogram, capacity)
