@@ -24,6 +24,10 @@ TILE = 1024
 BLOCK = 256
 #: Leading axes in the boxes of tiles, and after how many axes sums are held against their bounds.
 BOX_AXES, STEPS = 8, (8, 16, 32)
+#: Tiles whose boxes are looked at as one first, and parts of a label in that look.
+BOXES, SALTS = 64, 16
+#: Rows of a block of the matrix of products, and partial sums of it that meet in the second step.
+AXIS_ROWS, FAN_IN = 64, 32
 #: What rounding may move a cosine by; pairs so near the threshold are summed again from the vectors as given.
 SLACK = 1e-9
 
@@ -53,7 +57,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
-    """The axes of all vectors, the strongest first. Partitions send sums of products; ``dims`` squared numbers come to the driver."""
+    """The axes of all vectors, the strongest first.
+
+    Partitions send sums of products in blocks of rows, which are added up in two steps; ``dims`` squared numbers
+    come to the driver, as bytes."""
 
     def products(batches):
         total = np.zeros((dims, dims))
@@ -61,12 +68,18 @@ def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
             if batch.num_rows:
                 x = unit(matrix(batch["embedding"], dims))
                 total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims)), pa.array(total.ravel())], ["cell", "value"])
-
-    cells = vectors.select("embedding").mapInArrow(products, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    total = np.zeros(dims * dims)
-    for r in cells:
-        total[r["cell"]] = r["value"]
+        cuts = range(0, dims, AXIS_ROWS)
+        part = [TaskContext.get().partitionId() % FAN_IN] * len(cuts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array(part, pa.int32()), pa.array([total[c : c + AXIS_ROWS].tobytes() for c in cuts])], ["first", "part", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in group["sums"])
+        return pa.table({"first": group["first"][:1].cast(pa.int32()), "part": group["part"][:1].cast(pa.int32()), "sums": pa.array([total.tobytes()])})
+
+    kind = "first int, part int, sums binary"
+    sums = vectors.select("embedding").mapInArrow(products, kind).groupBy("first", "part").applyInArrow(added, kind)
+    blocks = {r["first"]: r["sums"] for r in sums.groupBy("first").applyInArrow(added, kind).collect()}
+    total = np.concatenate([np.frombuffer(blocks[c]) for c in sorted(blocks)]) if blocks else np.zeros(dims * dims)
     return np.ascontiguousarray(np.linalg.eigh(total.reshape(dims, dims))[1][:, ::-1])
 
 
@@ -181,16 +194,31 @@ def compare(a, b, same: bool, axes: np.ndarray, threshold: float):
     return ids[keep], n[keep], ids[root[keep]]
 
 
+def tile_pairs(tiles: DataFrame, boxes: int, reach: float) -> DataFrame:
+    """Pairs (tile_a, tile_b) of a label whose boxes are within the square root of ``reach`` of each other.
+
+    Boxes around BOXES neighbouring tiles are held against each other first, in SALTS parts of a label, and only
+    what is near enough is taken apart, so no key holds all tiles of a label."""
+    gap = "aggregate(zip_with(zip_with({0}.low, {1}.high, (x, y) -> x - y), zip_with({1}.low, {0}.high, (x, y) -> x - y), (x, y) -> pow(greatest(x, y, 0D), 2)), 0D, (s, x) -> s + x)"
+    box = tiles.select("label", "tile", "low", "high", F.expr(f"shiftright(tile, 32) * {1 << 24} + (tile & {2**32 - 1}) div {BOXES}").alias("group"))
+    around = [F.array(*[f(F.get(c, F.lit(i))) for i in range(boxes)]).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
+    groups = settled(box.groupBy("label", "group").agg(*around, F.collect_list(F.struct("tile", "low", "high")).alias("tiles")))
+    one = groups.withColumn("salt", F.pmod(F.xxhash64("group"), F.lit(SALTS)).cast("int")).alias("g")
+    other = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("h")
+    same = (F.col("g.label") == F.col("h.label")) & (F.col("g.salt") == F.col("h.salt")) & (F.col("g.group") <= F.col("h.group"))
+    near = one.join(other, same & (F.expr(gap.format("g", "h")) <= reach))
+    pairs = near.select(F.explode("g.tiles").alias("a"), F.col("h.tiles").alias("tiles"), (F.col("g.group") == F.col("h.group")).alias("same"))
+    pairs = pairs.select("a", "same", F.explode("tiles").alias("b")).where(~F.col("same") | (F.col("a.tile") <= F.col("b.tile")))
+    return pairs.where(F.expr(gap.format("a", "b")) <= reach).select(F.col("a.tile").alias("tile_a"), F.col("b.tile").alias("tile_b"))
+
+
 def near_vectors(vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
     """Links of ``vectors`` (label, id, copies, embedding of ``dims``): per comparison, id, n_links and the root of its tree."""
     spark = vectors.sparkSession
     axes = principal_axes(vectors, dims)
     shared = spark.sparkContext.broadcast(axes)
     tiles = tiles_of(vectors, axes)
-    gap = "aggregate(zip_with(zip_with(a.low, b.high, (x, y) -> x - y), zip_with(b.low, a.high, (x, y) -> x - y), (x, y) -> pow(greatest(x, y, 0D), 2)), 0D, (s, x) -> s + x)"
-    box = tiles.select("label", "tile", "low", "high")
-    pairs = box.alias("a").join(box.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.tile") <= F.col("b.tile")) & (F.expr(gap) <= 2 - 2 * threshold + SLACK))
-    pairs = settled(pairs.select(F.col("a.tile").alias("tile_a"), F.col("b.tile").alias("tile_b")))
+    pairs = settled(tile_pairs(tiles, min(BOX_AXES, dims), 2 - 2 * threshold + SLACK))
     data = lambda s: tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "ids", "copies", "x")])
     joined = pairs.join(data("b"), "tile_b").join(data("a"), "tile_a").select("tile_a", "tile_b", *[f"{c}_{s}" for s in "ab" for c in ("ids", "copies", "x")])
 
@@ -212,7 +240,8 @@ def link_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     Rows link if their labels are equal and not null and their cosine is ``threshold`` or more. Vectors that are
     null, empty, zero, or hold nulls or numbers that aren't finite link with nothing, nor do rows without an id,
     whose component is null; vectors of different lengths never link. Equal vectors of a label are compared once.
-    Ids are taken as unique: rows that repeat one share its links. Other columns are ignored."""
+    Rows that repeat an id with other vectors are one vertex: each has the links of all of them. Other columns are
+    ignored."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))

@@ -365,12 +365,24 @@ def test_vector_links_are_exact(vectors, monkeypatch):
     assert V.link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_vectors_that_repeat_an_id_and_clashing_columns(spark):
+    from matchloom.llm.vector_dedup import link_vectors
+
+    east, north, mix = [1.0, 0.0], [0.0, 1.0], [0.999, 0.01]
+    rows = [(1, east, 0), (1, north, 0), (2, mix, 0), (3, [0.01, 2.0], 0), (4, east, 1), (2, mix, 0)]
+    table = spark.createDataFrame([(*r, "x", 7, 8) for r in rows], "vec_id long, embedding array<float>, label int, id string, n_links int, component long")
+    got = sorted((r["vec_id"], r["component_id"], r["kept"]) for r in link_vectors(table).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
 def test_tiles_are_compared_as_the_whole(vectors, monkeypatch):
     from matchloom.llm import vector_dedup as V
 
     whole = key(V.link_vectors(vectors).collect(), "vec_id", "n_links", "component_id")
     real = V.tiles_of
     monkeypatch.setattr(V, "tiles_of", lambda v, axes: real(v, axes, 10))
+    monkeypatch.setattr(V, "BOXES", 3)
+    monkeypatch.setattr(V, "AXIS_ROWS", 5)
     assert key(V.link_vectors(vectors).collect(), "vec_id", "n_links", "component_id") == whole
 
 
