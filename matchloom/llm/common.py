@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from matchloom.session import ship
 
@@ -49,3 +51,16 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, kept in the shared folder: lineage is cut and no later step computes them again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, a kept table, with ``name``: 0, 1, ... among the rows of one ``key``, which isn't null.
+
+    Rows are numbered within their partition and start after those of the partitions before, so that no task holds
+    all rows of a key."""
+    parts = df.withColumn("_in", F.spark_partition_id())
+    own = W.partitionBy(key, "_in").orderBy(F.lit(0))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("_in").rowsBetween(W.unboundedPreceding, -1))
+    starts = parts.groupBy(key, "_in").agg(F.count("*").alias("_n")).select(key, "_in", before.alias("_before")).where(F.col("_before").isNotNull())
+    found = parts.withColumn("_own", F.row_number().over(own) - 1).join(starts, [key, "_in"], "left")
+    return found.select(*df.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))

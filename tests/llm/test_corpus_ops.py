@@ -98,19 +98,82 @@ def test_mix_keeps_targets_and_reruns_agree(spark, odd_docs, no_docs):
 
 
 def test_rounding_keeps_sums_and_expectations():
-    from matchloom.llm.mixing import pivotal, pooled
+    from matchloom.llm.mixing import pivotal
 
     draw = np.random.default_rng(0)
     size, share, hits = np.sort(draw.integers(1, 50, 40))[::-1].astype(float), 0.37, np.zeros(40)
     for _ in range(3000):
-        part = pooled(size, share, draw.random(40))
+        part, held = pivotal(size, np.full(40, share), draw.random(40))
         assert (part * size).sum() == pytest.approx(share * size.sum())
-        part, held = pivotal(size, part, draw.random(40))
-        assert ((part > 0) & (part < 1)).sum() <= 1
+        assert ((part > 0) & (part < 1)).sum() == (held >= 0)
         hits += part
     assert np.abs(hits / 3000 - share).max() < 0.05
 
 
+def test_settlement_comes_as_near_as_single_copies_can():
+    from matchloom.llm.mixing import MAX_COPIES, settlement
+
+    r = random.Random(6)
+    for _ in range(200):
+        size = np.array([r.choice([0, 1, 3, r.randrange(1, 400)]) for _ in range(r.randrange(1, 40))])
+        copies = np.array([r.randrange(0, 4) for _ in size])
+        miss = r.uniform(-500, 500)
+        left, after = miss, copies.copy()
+        for row, change in settlement(size, copies, miss):
+            after[row] += change
+            assert abs(left - change * size[row]) < abs(left)
+            left -= change * size[row]
+        assert (after >= 0).all() and (after <= MAX_COPIES).all()
+        step = 1 if left > 0 else -1
+        free = (after == copies) & (size > 0) & ((copies < MAX_COPIES) if step > 0 else (copies > 0))
+        assert len(np.flatnonzero(after != copies)) == 16 or all(abs(left - step * s) >= abs(left) for s in size[free])  # no single copy comes nearer
+
+
+def test_a_bucket_is_rounded_as_pairs_say_and_repeats_are_spread(spark):
+    """Brute force of a small mix: one bucket, pairs from the longest down, what is left settled copy by copy."""
+    from pyspark.sql import functions as F
+
+    from matchloom.llm import mixing as M
+
+    r = random.Random(12)
+    rows = [(i, " ".join("w" * r.randrange(1, 9) for _ in range(r.randrange(0, 90))), f"s{i % 3}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x for x in M.mix_sources(docs).collect()}
+    keys = {x[0]: x[1] for x in docs.select("doc_id", F.xxhash64("doc_id", F.regexp_count("text", F.lit(M.WORD)).cast("long"), F.lit(42))).collect()}
+    keys = {i: k for i, k in keys.items()}
+    draws = {x[0]: x[1] for x in spark.createDataFrame(list(keys.items()), "i long, k long").select("i", F.xxhash64("k", F.lit(0).cast("long"))).collect()}
+    for s in ("s0", "s1", "s2"):
+        own = [(i, len(t.split()), M.mix64(M.mix64(np.array([draws[i]], np.int64).view(np.uint64) ^ np.uint64(42)))[0]) for i, t, x in rows if x == s and t.split()]
+        order = {i: M.mix64(np.array([draws[i]], np.int64).view(np.uint64) ^ np.uint64(42))[0] for i, _, _ in own}
+        own.sort(key=lambda o: (-o[1], order[o[0]]))
+        target, all_ = got[own[0][0]]["target"], sum(n for _, n, _ in own)
+        whole, open_ = {i: int(target / all_) for i, _, _ in own}, None
+        for i, n, draw in own:  # probabilities as exact floats, one pair at a time
+            p = target / all_ - int(target / all_)
+            if not 0 < p < 1:
+                continue
+            if open_ is None:
+                open_ = (i, n, p)
+                continue
+            j, m, q = open_
+            up, down = min((1 - q) * m, p * n), min(q * m, (1 - p) * n)
+            q, p = (q + up / m, p - up / n) if float(draw >> np.uint64(11)) * 2.0**-53 * (up + down) < down else (q - down / m, p + down / n)
+            near = lambda x: 0 if x < 1e-9 else 1 if x > 1 - 1e-9 else x
+            q, p = near(q), near(p)
+            whole[j] += q == 1
+            whole[i] += p == 1
+            open_ = (j, m, q) if 0 < q < 1 else (i, n, p) if 0 < p < 1 else None
+        different = [i for i, _, _ in own if got[i]["copies"] != whole[i]]
+        assert len(different) <= M.SETTLE + 1  # the last open one and those that settle
+        assert abs(sum(got[i]["taken"] for i, _, _ in own) - target) <= 2
+    same = spark.createDataFrame([(None, "three words here", "a")] * 3000 + [(None, "two words", "b")] * 3000, "doc_id long, text string, source string")
+    mixed = M.mix_sources(same).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want"), F.count("*").alias("n")).collect()
+    assert all(abs(x["t"] - x["want"]) <= 2 and x["n"] == 3000 for x in mixed)
+    assert M.mixed_documents(same).groupBy("source").count().count() == 2
+    counts = {x["source"]: x["count"] for x in M.mixed_documents(same).groupBy("source").count().collect()}
+    assert counts == {x["source"]: x["t"] // (3 if x["source"] == "a" else 2) for x in mixed}
+
+
 # ---------------------------------------------------------------- op8, op6
 
 
