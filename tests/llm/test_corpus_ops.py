@@ -66,6 +66,33 @@ def test_shards_are_even_and_gapless(odd_docs, no_docs):
     assert hilbert_shards(no_docs).count() == 0
 
 
+def test_equal_texts_are_neighbours(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from matchloom.llm import hilbert_shards as H
+
+    r = random.Random(8)
+    rows = [(i, f"text {i // 2 if i < 200 else i}" if i < 700 else "hot", r.choice(["en", "de", None]), f"s{r.randrange(9)}") for i in range(1000)]
+    rows += [(5000 + i, None, "en", "s1") for i in range(3)] + [(6000, "", "en", "s2"), (None, "hot", None, None), (7, "text 3", "xx", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plain = H.hilbert_shards(docs, shards=20).collect()
+    monkeypatch.setattr(H, "PART", 7)
+    monkeypatch.setattr(H, "VALUES", 3)
+    again = H.hilbert_shards(docs, shards=20).collect()
+    assert key(plain, "doc_id", "shard", "slot", "curve") == key(again, "doc_id", "shard", "slot", "curve")
+    order = sorted(plain, key=lambda x: (x["shard"], x["slot"]))
+    place, curves = {}, {}
+    for n, x in enumerate(order):
+        group = (x["text_crc32"], x["size"])
+        place.setdefault(group, []).append(n)
+        curves.setdefault(group, set()).add(x["curve"])
+    assert all(max(p) - min(p) == len(p) - 1 and len(curves[g]) == 1 for g, p in place.items() if g[0])
+    shards = {g: {order[n]["shard"] for n in p} for g, p in place.items()}
+    hot = (zlib.crc32(b"hot"), 11)
+    assert len(place[hot]) == 301 and 301 // 51 <= len(shards[hot]) <= 301 // 50 + 2
+    assert all(len(s) <= 2 for g, s in shards.items() if g != hot)
+
+
 # ---------------------------------------------------------------- op5
 
 
