@@ -64,3 +64,13 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     starts = parts.groupBy(key, "_in").agg(F.count("*").alias("_n")).select(key, "_in", before.alias("_before")).where(F.col("_before").isNotNull())
     found = parts.withColumn("_own", F.row_number().over(own) - 1).join(starts, [key, "_in"], "left")
     return found.select(*df.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, how: str = "inner", parts: int = 64) -> DataFrame:
+    """``rows``, a kept table, joined with ``values``, which has one row a ``key``, so that no task holds all rows of a key.
+
+    Rows are dealt into ``parts`` by ``by`` within their key; each part that there is gets its own row of ``values``.
+    A null key has no values."""
+    placed = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    there = placed.select(key, "_part").distinct().join(values, key)
+    return placed.join(there, [key, "_part"], how).drop("_part")

@@ -9,11 +9,14 @@ documents as pivots part nothing. The join therefore goes from coarse to fine, a
    first pivot of a set is its Voronoi region. A partner lacks at most a quarter of the set, so replicating the set
    into the regions of the first pivots of this quarter and one more is a window that no partner escapes.
    Regions that share sets are one; rare pivots come first, so passages that many documents share join nothing.
+   Shingles that very many sets hold are the last in this order, and are known by a filter, so none is counted twice.
 3. In a region documents are the pivots. Sets go to the Voronoi cell of the nearest pivot and, by the triangle
-   inequality, to every cell whose pivot is at most twice the radius farther; cells are joined in turn, until
-   they are small. Pairs already in one component need no look.
-4. Regions of more sets than a task should hold are dealt into blocks, which are joined on their own. What they
-   leave in more than one component is compared with everything outside it, block by block.
+   inequality, to every cell whose pivot is at most twice the radius farther and shares a shingle; sets far from all
+   pivots are a cell of their own, which needs no window. Cells are joined in turn, until they are small: by tasks
+   that hold a block of the region and all its pivots, while cells are large, and within one task from then on.
+   Links to pivots are found on the way, and pairs already in one component need no look.
+4. Cells that pivots don't part, since all are near all, are dealt into blocks, which are joined on their own. What
+   they leave in more than one component is compared with everything outside it, block by block.
 """
 
 from __future__ import annotations
@@ -24,21 +27,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, spread_join, table
 from .components import components
-from .shingles import set_id, shingle_sets
+from .shingles import mixed, set_id, shingle_sets
 from .vector_dedup import arrow_rows
 
 #: A link: 100 times the intersection is at least 75 times the union.
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a range and of a message of one task, sets of a block, and of a cell that is joined as it is.
-RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 2_000_000, 1_000, 48
+RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 2_000_000, 1_000, 8
 #: Ranges there are at least, so that small tables are dealt evenly too.
 LEAST_RANGES = 24
-PIVOTS = 8
-#: Bits of the filter of sets that may link: 8 MB at most.
-FILTER_BITS = 1 << 26
+#: Pivots of a cell within a task, and on average of one that many tasks share; how often the latter are parted.
+PIVOTS, FAR_PIVOTS, LEVELS = 8, 16, 8
+#: Sets that hold a shingle from which on it is known by a filter only.
+HOT = 1_000
+#: Bits of a filter for each entry, and at most: 32 MB. Fuller filters let more pass, which loses nothing.
+ENTRY_BITS, MOST_BITS = 16, 1 << 28
 #: Documents handed to Python at once.
 DOCS = 500
 
@@ -52,6 +58,34 @@ def least_common(n):
     return -(-n * PERCENT // 100)
 
 
+def voronoi(far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells from the distances ``far`` of pivots (rows) to sets: which sets each cell has, and which cells own any.
+
+    The last cell has the sets that are far from all pivots. Let x and y link, and p be the pivot nearest to y, less
+    than 1 - RADIUS away. Then x shares a shingle with p, and is at most twice RADIUS farther from it than from its own
+    nearest pivot, so both are in the cell of p. If both are far from all pivots, they are in the last cell; if only
+    one is, it is x for the pivot of the other."""
+    near = far.min(axis=0) if len(far) else np.ones(far.shape[1])
+    lone = near >= 1 - RADIUS
+    inside = (far < 1) & (far <= near + 2 * RADIUS + 1e-9)
+    owners = np.append(np.bincount(far.argmin(axis=0)[~lone], minlength=len(far)) > 0 if len(far) else np.zeros(0, bool), lone.any())
+    return np.vstack([inside, lone]), owners
+
+
+def separate(between: np.ndarray) -> list[int]:
+    """Pivots that are far from each other, in their order, by the distances between them: others would only share cells."""
+    chosen: list[int] = []
+    for i, row in enumerate(between):
+        if (row[chosen] >= 1 - RADIUS).all():
+            chosen.append(i)
+    return chosen
+
+
+def parted(sizes, whole: int) -> bool:
+    """Whether cells of these sizes are worth being joined apart, in place of the whole."""
+    return sum(sizes) <= 1.5 * whole and max(sizes) <= 0.75 * whole
+
+
 # ---------------------------------------------------------------- one region, in one task
 
 
@@ -64,6 +98,7 @@ class Join:
         _, self.items = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
         self.root = np.arange(len(sets))
         self.edges: list[tuple[int, int]] = []
+        self.splits = 0
         order = np.argsort(self.items, kind="stable")
         self.holders = np.repeat(np.arange(len(sets)), self.size)[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.items))]) if len(self.items) else np.zeros(1, np.int64)
@@ -98,13 +133,14 @@ class Join:
             if len(np.unique(self.root[own])) < 2:
                 continue
             if len(own) > LEAF:
-                pivots = own[np.linspace(0, len(own) - 1, PIVOTS).astype(np.int64)]
+                pivots = own[np.linspace(0, len(own) - 1, max(2, min(PIVOTS, len(own) // 4))).astype(np.int64)]
                 far = [self.look(int(p)) for p in pivots]
-                at = np.stack([d[own] for d in far])
-                inside = at <= at.min(axis=0) + 2 * RADIUS + 1e-9
-                inside = inside[np.unique(at.argmin(axis=0))]
-                if inside.sum() <= 1.5 * len(own) and inside.sum(axis=1).max() <= 0.75 * len(own):
-                    todo += [(own[row], []) for row in inside]
+                far = [far[i] for i in separate(np.stack([d[pivots] for d in far]))]
+                inside, owners = voronoi(np.stack([d[own] for d in far]))
+                inside = inside[owners]
+                if parted(inside.sum(axis=1), len(own)):
+                    self.splits += 1
+                    todo += [(own[row], far) for row in inside]
                     continue
                 known = [*known, *far]  # all are near all: cells would be copies of the whole
             self.pairs(own, known)
@@ -145,10 +181,11 @@ MANY = 2**16 - 1
 
 
 def _ranged(rows_of, ranges: int, once: bool = False):
-    """Messages of (range, keys, of, nodes): shingles of many sets by range.
+    """Messages of (range, keys, of, nodes, held): shingles of many sets by range.
 
     With ``once`` a shingle that several sets of a message hold is in it once, held by MANY, so that no range gets more
-    of one shingle than there are messages. A message (None, counts, None, nodes) has how many of those each set has."""
+    of one shingle than there are messages; ``held`` is the number of sets of each such shingle, in their order. A
+    message (None, counts, None, nodes, None) has how many of those each set has."""
     nodes, sets, total = [], [], 0
 
     def send():
@@ -160,23 +197,24 @@ def _ranged(rows_of, ranges: int, once: bool = False):
             order = np.argsort(short)
             short, of = short[order], of[order]
             starts = np.concatenate([[0], np.flatnonzero(short[1:] != short[:-1]) + 1])
-            many = np.diff(np.append(starts, len(short))) > 1
-            counts = np.bincount(of[np.repeat(many, np.diff(np.append(starts, len(short))))], minlength=len(sets))
+            times = np.diff(np.append(starts, len(short)))
+            many = times > 1
+            counts = np.bincount(of[np.repeat(many, times)], minlength=len(sets))
             of[starts[many]] = MANY
             order, of = order[starts], of[starts]
             keys, slot = keys[order], slot[order]
             if counts.any():
-                yield None, counts[counts > 0], None, np.array(nodes, np.uint64)[counts > 0]
+                yield None, counts[counts > 0], None, np.array(nodes, np.uint64)[counts > 0], None
         else:
             order = np.argsort(slot, kind="stable")
-            keys, of, slot = keys[order], of[order], slot[order]
+            keys, of, slot, times = keys[order], of[order], slot[order], np.ones(len(keys), np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
         for a, b in zip(cuts, cuts[1:]):
             one = of[a:b] != MANY
             used, local = np.unique(of[a:b][one], return_inverse=True)
             held = np.full(b - a, MANY)
             held[one] = local
-            yield int(slot[a]), keys[a:b], held, np.array([nodes[u] for u in used], np.uint64)
+            yield int(slot[a]), keys[a:b], held, np.array([nodes[u] for u in used], np.uint64), times[a:b][~one]
 
     for node, s in rows_of:
         nodes.append(node)
@@ -236,13 +274,13 @@ def _messages(docs: DataFrame, ranges: int) -> DataFrame:
         def rows():
             while held:
                 part, held[:] = held[:10_000], held[10_000:]
-                yield pa.RecordBatch.from_pylist([{"slot": node % ranges, "doc_id": d, "n": n, "node": signed(node)} for d, n, node in part], ROW)
+                yield pa.RecordBatch.from_pylist([{"slot": i % ranges, "doc_id": d, "n": n, "node": signed(node)} for i, (d, n, node) in enumerate(part)], ROW)
 
-        for slot, keys, local, nodes in _ranged(documents(), ranges, once=True):
+        for slot, keys, local, nodes, times in _ranged(documents(), ranges, once=True):
             if slot is None:
                 yield pa.RecordBatch.from_pylist([{"slot": int(nodes[0]) % ranges, "nodes": _low(nodes, NAME), "counts": keys.astype(np.uint32).tobytes()}], ROW)
                 continue
-            yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": _low(keys, KEY), "of": local.astype(np.uint16).tobytes(), "nodes": _low(nodes, NAME)}], ROW)
+            yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": _low(keys, KEY), "of": local.astype(np.uint16).tobytes(), "nodes": _low(nodes, NAME), "counts": times.astype(np.uint32).tobytes()}], ROW)
             if len(held) >= 10_000:
                 yield from rows()
         yield from rows()
@@ -265,13 +303,14 @@ def _shared(keys: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
 
 
 def _count_shared(buckets: int):
-    """Of one range: its documents' rows, and for each node how many of its shingles another node has too, by bucket of nodes.
+    """Of one range: its documents' rows, for each node how many of its shingles another node has too, by bucket of
+    nodes, and the shingles that HOT sets or more hold.
 
     A copy of a set in another partition may count what its messages shared once more; that only keeps a set."""
 
     def run(group: pa.Table) -> pa.Table:
         messages = group.filter(pc.is_valid(group["keys"]))
-        counted = group.filter(pc.is_valid(group["counts"]))
+        counted = group.filter(pc.and_(pc.is_valid(group["counts"]), pc.is_null(group["keys"])))
         out = [group.filter(pc.is_valid(group["node"]))]
         if messages.num_rows or counted.num_rows:
             of, names, at = [np.zeros(0, np.int64)], [], 0
@@ -284,7 +323,15 @@ def _count_shared(buckets: int):
             keys = np.concatenate([np.zeros(0, np.uint64), *(_wide(k.as_py(), KEY) for k in messages["keys"])])
             before = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(c.as_py(), np.uint32) for c in counted["counts"])])
             nodes, dense = np.unique(np.concatenate(names), return_inverse=True)
-            owner = np.append(dense, len(nodes))[np.concatenate(of)]  # MANY is one more, unlike any node
+            of = np.concatenate(of)
+            held = np.ones(len(of), np.int64)
+            if len(of):
+                held[of < 0] = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in messages["counts"]])
+                different, at_key = np.unique(keys, return_inverse=True)
+                hot = different[np.bincount(at_key, held) >= HOT]
+                if len(hot):
+                    out.append(pa.Table.from_pylist([{"slot": int(group["slot"][0].as_py()), "keys": _low(hot, KEY)}], ROW))
+            owner = np.append(dense, len(nodes))[of]  # MANY is one more, unlike any node
             counts = _shared(keys, owner, len(nodes) + 1)[:-1] + np.bincount(dense[at:], before, minlength=len(nodes)).astype(np.int64)
             bucket = (nodes % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(bucket[counts > 0]):
@@ -302,27 +349,41 @@ def _shared_counts(group: pa.Table) -> pa.Table:
     return pa.table({"name": pa.array(nodes.view(np.int64)), "shared": pa.array(np.bincount(dense, counts).astype(np.int64))})
 
 
-def member_filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``nodes`` (node): bits in 64-bit words, by position; of fixed size, whatever the table's."""
-    at = nodes.select(F.explode(F.array(*_positions_sql("node"))).alias("at"))
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``hashes`` (h: long): bits in 64-bit words, as many as the entries need, MOST_BITS at most."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (ENTRY_BITS * hashes.count()).bit_length()))
+    at = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned(F.col("h"), 32).bitwiseAND(size - 1))).alias("at"))
     words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out
+    return out.view(np.uint64)
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (64-bit) the filter may have."""
+    last = np.uint64(len(bits) * 64 - 1)
+    found = np.ones(len(hashes), bool)
+    for at in (hashes & last, (hashes >> np.uint64(32)) & last):
+        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
 
 
-def _positions_sql(node: str) -> list:
-    """Two slices of a node's own bits: nodes are hashes."""
-    return [F.col(node).bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned(F.col(node), 32).bitwiseAND(FILTER_BITS - 1)]
+def hot_names(slot: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """What a shingle is known by in the filter of hot ones: a hash of its range and the bits that travel."""
+    return mixed(slot.astype(np.uint64) << np.uint64(8 * KEY) | keys & np.uint64(2 ** (8 * KEY) - 1))
 
 
-def may_hold(bits: np.ndarray, node: int) -> bool:
-    a, b = node & FILTER_BITS - 1, node >> 32 & FILTER_BITS - 1
-    return bool(int(bits[a >> 6]) >> (a & 63) & 1 and int(bits[b >> 6]) >> (b & 63) & 1)
+def _hot_hashes(batches):
+    for batch in batches:
+        for slot, keys in zip(batch["slot"].to_pylist(), batch["keys"]):
+            keys = _wide(keys.as_py(), KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(hot_names(np.full(len(keys), slot), keys).view(np.int64))], ["h"])
 
 
-def _member_messages(docs: DataFrame, bits, ranges: int) -> DataFrame:
-    """Messages of the whole shingles of the sets that may link."""
+def _member_messages(docs: DataFrame, members, hot, ranges: int) -> DataFrame:
+    """Messages of the whole shingles of the sets that may link. ``members``, ``hot``: filters, broadcast.
+
+    Hot shingles don't go to the range that counts holders, but, already marked, to any range for their buckets."""
 
     def run(batches):
         seen: set[int] = set()
@@ -332,44 +393,66 @@ def _member_messages(docs: DataFrame, bits, ranges: int) -> DataFrame:
                 for s in _sets(batch):
                     if len(s):
                         node = set_id(s)
-                        if node not in seen and may_hold(bits.value, node):
+                        if node not in seen and may_hold(members.value, np.array([node], np.uint64))[0]:
                             seen.add(node)
                             yield node, s
 
-        for slot, keys, local, nodes in _ranged(documents(), ranges):
-            yield pa.RecordBatch.from_pylist([{"slot": slot, "keys": keys.tobytes(), "of": local.astype(np.uint16).tobytes(), "nodes": nodes.tobytes()}], ROW)
+        for slot, keys, local, nodes, _ in _ranged(documents(), ranges):
+            known = may_hold(hot.value, hot_names(np.full(len(keys), slot), keys))
+            for part, to in ((~known, slot), (known, int(nodes[0]) % ranges)):
+                if part.any():
+                    marks = {"counts": np.full(part.sum(), EVERYWHERE).astype(np.uint32).tobytes()} if part is known else {}
+                    yield pa.RecordBatch.from_pylist([{"slot": to, "keys": keys[part].tobytes(), "of": local[part].astype(np.uint16).tobytes(), "nodes": nodes.tobytes(), **marks}], ROW)
 
     return docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_SQL)
 
 
+#: The number of holders of a hot shingle, whatever it is: the most.
+EVERYWHERE = 2**32 - 1
+
+
+def _holders(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and their nodes of the messages in ``group``."""
+    keys = [np.frombuffer(k.as_py(), np.uint64) for k in group["keys"]]
+    owner = [np.frombuffer(n.as_py(), np.uint64)[np.frombuffer(o.as_py(), np.uint16)] for n, o in zip(group["nodes"], group["of"])]
+    return tuple(np.concatenate([np.zeros(0, np.uint64), *x]) for x in (keys, owner))
+
+
 def _count_holders(buckets: int):
     """Of one range: each node's shingles with the number of nodes that hold them, by bucket of nodes."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in group["keys"]])
-        owner = np.concatenate([np.frombuffer(n.as_py(), np.uint64)[np.frombuffer(o.as_py(), np.uint16)] for n, o in zip(group["nodes"], group["of"])])
+        keys, owner = _holders(group.filter(pc.is_null(group["counts"])))
         order = np.lexsort((owner, keys))
         keys, owner = keys[order], owner[order]
-        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
         keys, owner = keys[first], owner[first]
         _, dense, held = np.unique(keys, return_inverse=True, return_counts=True)
-        held = held[dense]
+        hot_keys, hot_owner = _holders(group.filter(pc.is_valid(group["counts"])))
+        held = np.concatenate([held[dense] if len(keys) else held, np.full(len(hot_keys), EVERYWHERE)])
+        keys, owner = np.concatenate([keys, hot_keys]), np.concatenate([owner, hot_owner])
         bucket = (owner % np.uint64(buckets)).astype(np.int64)
-        out = []
-        for b in np.unique(bucket):
-            own = bucket == b
-            out.append({"slot": int(b), "keys": keys[own].tobytes(), "nodes": owner[own].tobytes(), "counts": held[own].astype(np.uint32).tobytes()})
+        order = np.argsort(bucket, kind="stable")
+        keys, owner, held, bucket = keys[order], owner[order], held[order], bucket[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        out = [{"slot": int(bucket[a]), "keys": keys[a:b].tobytes(), "nodes": owner[a:b].tobytes(), "counts": held[a:b].astype(np.uint32).tobytes()} for a, b in zip(cuts, cuts[1:]) if b > a]
         return pa.Table.from_pylist(out, ROW)
 
     return run
 
 
 def _windows(group: pa.Table) -> pa.Table:
-    """Sets of a bucket of nodes, with their window of pivots: the rarest shingles, as many as a partner may lack and one more."""
+    """Sets of a bucket of nodes, with their window of pivots: the rarest shingles, as many as a partner may lack and one more.
+
+    Any order that all sets agree on will do; hot shingles are last, among themselves by their hash."""
     nodes, keys = (np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group[c]]) for c in ("nodes", "keys"))
     held = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group["counts"]])
     order = np.lexsort((keys, held, nodes))
     nodes, keys, held = nodes[order], keys[order], held[order]
+    first = np.ones(len(keys), bool)  # copies of a set in several partitions send their hot shingles more than once
+    first[1:] = (nodes[1:] != nodes[:-1]) | (keys[1:] != keys[:-1])
+    nodes, keys, held = nodes[first], keys[first], held[first]
     cuts = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, [len(nodes)]])
     out = {"node": [], "n": [], "shingles": [], "pivots": []}
     for a, b in zip(cuts, cuts[1:]):
@@ -383,100 +466,204 @@ def _windows(group: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "shingles": pa.array(out["shingles"], pa.binary()), "pivots": pa.array(out["pivots"], pa.list_(pa.int64()))})
 
 
+def by_slot(rows: DataFrame, slots: int, of, schema: str) -> DataFrame:
+    """``of`` over the rows of each ``slot`` (0 to ``slots`` - 1), each slot a task of its own."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            yield from of(pa.Table.from_batches(batches)).to_batches()
+
+    return rows.repartitionById(slots, F.col("slot")).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- regions
 
 
-def _join_group(group: pa.Table) -> pa.Table:
-    nodes = group["node"].to_numpy()
-    order = np.argsort(nodes, kind="stable")
-    sets = [np.frombuffer(group["shingles"][int(i)].as_py(), np.uint64) for i in order]
-    nodes = nodes[order]
-    edges = Join(sets).all()
-    return pa.table({"a": pa.array([nodes[x] for x, _ in edges], pa.int64()), "b": pa.array([nodes[y] for _, y in edges], pa.int64())})
+#: A node is known by the least id of its rows and the name of its set, so that components are named by least ids.
+NODE = pa.struct([("first", pa.int64()), ("node", pa.int64())])
+EDGE = "a struct<first: long, node: long>, b struct<first: long, node: long>"
 
 
-def _join_across(group: pa.Table) -> pa.Table:
-    """Links of the sets that ask with the sets of a block, between different groups."""
-    nodes, own, asks = group["node"].to_numpy(), group["comp"].to_numpy(), group["asks"].to_numpy(zero_copy_only=False)
-    join = Join([np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]])
-    _, first = np.unique(own, return_inverse=True)
-    join.root = np.array([np.flatnonzero(first == g)[0] for g in range(first.max() + 1)])[first]
-    edges = join.across(np.flatnonzero(asks), own)
-    return pa.table({"a": pa.array([nodes[x] for x, _ in edges], pa.int64()), "b": pa.array([nodes[y] for _, y in edges], pa.int64())})
+def _edges(group: pa.Table, edges: list[tuple[int, int]]) -> pa.Table:
+    ends = pa.StructArray.from_arrays([group[c].combine_chunks() for c in ("first", "node")], ["first", "node"])
+    return pa.table({c: ends.take(pa.array([e[i] for e in edges], pa.int64())).cast(NODE) for i, c in enumerate("ab")})
+
+
+def _sets_of(group: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
+
+
+def _roots(names: list) -> np.ndarray:
+    """For rows by the name of their component the first row of each."""
+    first: dict = {}
+    return np.array([first.setdefault(c, i) for i, c in enumerate(names)], np.int64)
 
 
-EDGE = "a long, b long"
+def _join_group(group: pa.Table) -> pa.Table:
+    """Links of the sets of a group; ``comp``, if there, says which are connected already."""
+    join = Join(_sets_of(group))
+    if "comp" in group.column_names:
+        join.root = _roots([tuple(c.values()) for c in group["comp"].to_pylist()])
+    return _edges(group, join.all())
+
+
+def _join_across(group: pa.Table) -> pa.Table:
+    """Links of the sets that ask with the sets of a block, between different components."""
+    join = Join(_sets_of(group))
+    join.root = _roots([tuple(c.values()) for c in group["comp"].to_pylist()])
+    asks = group["asks"].to_numpy(zero_copy_only=False)
+    return _edges(group, join.across(np.flatnonzero(asks), join.root.copy()))
+
+
+CELLS = f"cell long, node long, first long, child long, {EDGE}"
+
+
+def _to_cells(group: pa.Table) -> pa.Table:
+    """Of a block of a cell and all pivots of the cell: the cells that each set of the block goes to, and its links to pivots."""
+    pivot = group["pivot"].to_numpy(zero_copy_only=False)
+    join = Join(_sets_of(group))
+    nodes, cell = group["node"].to_numpy(), np.uint64(group["cell"][0].as_py() % 2**64)
+    at, own, edges = np.flatnonzero(pivot), np.flatnonzero(~pivot), []
+    at = at[np.argsort(nodes[at], kind="stable")]  # the same pivots are chosen for all blocks
+    far = np.zeros((len(at), len(pivot)))
+    for row, p in enumerate(at):
+        common = join.common(int(p))
+        far[row] = 1 - common / np.maximum(join.size + join.size[p] - common, 1)
+        near = own[linked(common, join.size[p], join.size)[own] & (nodes[own] != nodes[p])]
+        edges += [(int(x), int(p)) for x in near]
+    chosen = separate(far[:, at])
+    at, far = at[chosen], far[chosen][:, own]
+    inside, _ = voronoi(far)
+    names = np.append(nodes[at].view(np.uint64), np.uint64(0))
+    child = mixed(mixed(names + np.uint64(1)) ^ cell).view(np.int64)
+    to, of = np.nonzero(inside)
+    placed = pa.table({
+        "cell": pa.array(np.full(len(to), cell).view(np.int64)), "node": pa.array(nodes[own[of]]), "first": group["first"].combine_chunks().take(pa.array(own[of])),
+        "child": pa.array(child[to]), "a": pa.nulls(len(to), NODE), "b": pa.nulls(len(to), NODE),
+    })
+    linked_ = _edges(group, edges)
+    none = {c: pa.nulls(len(edges), pa.int64()) for c in ("cell", "node", "first", "child")}
+    return pa.concat_tables([placed, pa.table({**none, "a": linked_["a"], "b": linked_["b"]})])
+
+
+def blocks(members: str = "members"):
+    return F.greatest(F.lit(1), F.ceil(F.col(members) / BLOCK))
+
+
+def part_cells(sets: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Part large cells by pivots, level by level: what one task can join, what pivots don't part, and links to pivots.
+
+    ``sets``: node, first, shingles; ``cells``: cell, node. The first two come as (cell, node, and members of the second)."""
+    small, tight, edges = None, None, None
+    add = lambda x, y: y if x is None else x.unionByName(y)
+    for level in range(LEVELS + 1):
+        cells = settled(cells)
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+        sizes = settled(sizes)
+        if not sizes.limit(1).count():
+            return add(small, cells.select("cell", "node")), tight, edges
+        known = settled(spread_join(cells, sizes, "cell", "node", "left"))
+        small = add(small, known.where("members is null").select("cell", "node"))
+        large = known.where("members is not null")
+        if level == LEVELS:
+            return small, add(tight, large.select("cell", "node", "members")), edges
+        held = large.join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks()))
+        chance = F.pmod(F.xxhash64("node", F.lit(level)), F.col("members")) < FAR_PIVOTS
+        pivots = held.where(chance).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks().cast("long") - 1)))
+        columns = ["cell", "block", "node", "first", "shingles"]
+        both = held.select(*columns, F.lit(False).alias("pivot")).unionByName(pivots.select(*columns, F.lit(True).alias("pivot")))
+        found = settled(both.groupBy("cell", "block").applyInArrow(_to_cells, CELLS))
+        edges = add(edges, found.where("a is not null").select("a", "b"))
+        placed = found.where("child is not null")
+        sized = placed.groupBy("cell", "child").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+        apart = sized.join(sizes, "cell").where((F.col("total") <= 1.5 * F.col("members")) & (F.col("most") <= 0.75 * F.col("members"))).select("cell", F.lit(True).alias("parted"))
+        apart = settled(apart)
+        tight = add(tight, spread_join(large, apart, "cell", "node", "left").where("parted is null").select("cell", "node", "members"))
+        cells = spread_join(placed.select("cell", "child", "node"), apart, "cell", "node").select(F.col("child").alias("cell"), "node")
+    raise AssertionError
 
 
 def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame:
-    """Edges that connect all linked sets. ``sets``: node, shingles; ``regions``: node, region."""
-    sizes = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
-    placed = sets.join(regions, "node").join(sizes, "region")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK))
-    placed = settled(placed.select("region", "members", "node", F.pmod(F.xxhash64("node"), blocks).alias("block"), "shingles"))
-    edges = settled(placed.select("region", "block", "node", "shingles").groupBy("region", "block").applyInArrow(_join_group, EDGE))
-    if not placed.where(F.col("members") > BLOCK).limit(1).count():
+    """Edges that connect all linked sets. ``sets``: node, first, shingles; ``regions``: node, region."""
+    small, tight, edges = part_cells(sets, regions.select(F.col("region").alias("cell"), "node"))
+    own = small.join(sets, "node").select("cell", "node", "first", "shingles")
+    found = settled(own.groupBy("cell").applyInArrow(_join_group, EDGE))
+    edges = found if edges is None else settled(edges.unionByName(found))
+    if tight is None or not tight.limit(1).count():
+        return edges
+    whole = settled(tight.join(sets.select("node", "first"), "node").withColumn("self", F.struct("first", "node")))
+    shingles = sets.select("node", "shingles")
+
+    def known() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The sets of tight cells with their component, the components of each cell, and their number and the largest."""
+        comp = components(edges).select(F.col("node").alias("self"), F.col("component").alias("comp"))
+        rows = settled(whole.join(comp, "self", "left").withColumn("comp", F.coalesce("comp", "self")))
+        parts = rows.groupBy("cell", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.hash("node")).alias("one"))
+        most = parts.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("comps"))
+        return rows, settled(parts), settled(most.where("comps > 1").select("cell", F.col("m.comp").alias("most"), (F.col("all") - F.col("m.n")).alias("rest"), "comps"))
+
+    columns = ["cell", "block", "node", "first", "shingles", "comp"]
+    rows, parts, most = known()
+    if most.limit(1).count():
+        open_ = settled(spread_join(rows, most.select("cell", "comps"), "cell", "node"))
+        dealt = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks())).join(shingles, "node").select(*columns)
+        edges = settled(edges.unionByName(dealt.groupBy("cell", "block").applyInArrow(_join_group, EDGE)))
+        rows, parts, most = known()
+    if most.limit(1).count():
+        # One set of each component meets those of others: what copies of one text leave is joined here.
+        some = spread_join(parts, most, "cell", "one").withColumn("block", F.pmod(F.xxhash64("one", F.lit(1)), blocks("comps")))
+        met = some.select("cell", "block", F.col("one").alias("node"), "comp").join(sets, "node").select(*columns)
+        edges = settled(edges.unionByName(met.groupBy("cell", "block").applyInArrow(_join_group, EDGE)))
+        rows, parts, most = known()
+    if not most.limit(1).count():
         return edges
-    large = placed.where(F.col("members") > BLOCK)
-    for turn in range(2):
-        comp = components(edges)
-        own = large.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        own = settled(own)
-        parts = own.groupBy("region", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.hash("node")).alias("one"))
-        most = parts.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
-        if not most.where("comps > 1").limit(1).count():
-            return edges
-        if turn == 0:
-            # One set of each component of each block meets the others: what copies of one text leave is joined here.
-            some = parts.select("region", F.col("one").alias("node"))
-            dealt = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("comps") / BLOCK)))
-            some = some.join(most.where("comps > 1"), "region").select("region", "node", dealt.alias("block"))
-            met = some.join(sets.select("node", "shingles"), "node").select("region", "block", "node", "shingles")
-            edges = settled(edges.unionByName(met.groupBy("region", "block").applyInArrow(_join_group, EDGE)))
-    # Sets outside the largest component of their region ask all others of it, chunk by chunk and block by block.
-    rest = own.join(most.where("comps > 1").select("region", F.col("m.comp").alias("most")), "region")
-    asking = rest.where("comp <> most").select("region", "node", "comp", "shingles", "block")
-    chunks = rest.groupBy("region").agg(F.max("block").alias("last"))
-    asked = rest.select("region", "node", "comp", "shingles", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / BLOCK) - 1)).alias("chunk"), F.lit(False).alias("asks"))
-    ask = asking.join(chunks, "region").select("region", "node", "comp", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("to"), F.col("block").alias("chunk"), F.lit(True).alias("asks"))
-    asked = asked.join(asking.select("region", F.col("block").alias("chunk")).distinct(), ["region", "chunk"], "left_semi")
-    both = ask.unionByName(asked.select(ask.columns))
-    return settled(edges.unionByName(both.groupBy("region", "to", "chunk").applyInArrow(_join_across, EDGE)))
-
-
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs`` its doc_id, n and node (the name of its set), and edges that connect all nodes that link."""
+    # Sets outside the largest component of their cell ask all others of it, chunk by chunk and block by block.
+    open_ = settled(spread_join(rows, most, "cell", "node").join(shingles, "node"))
+    whole_blocks, chunks = blocks().cast("long"), blocks("rest").cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asked = open_.select(*[c for c in columns if c != "block"], F.pmod(F.xxhash64("node"), whole_blocks).alias("block"), each(chunks).alias("chunk"), F.lit(False).alias("asks"))
+    asking = open_.where("comp <> most").select(*[c for c in columns if c != "block"], each(whole_blocks).alias("block"), F.pmod(F.xxhash64("node", F.lit(2)), chunks).alias("chunk"), F.lit(True).alias("asks"))
+    both = asked.unionByName(asking.select(asked.columns))
+    return settled(edges.unionByName(both.groupBy("cell", "block", "chunk").applyInArrow(_join_across, EDGE)))
+
+
+#: The id of rows without one, in names of nodes: after all others.
+NO_ID = 2**63 - 1
+
+
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per row of ``docs`` its doc_id, n and node (the name of its set); per node its first id; and edges that connect all nodes that link."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(1 << BESIDE, max(LEAST_RANGES, -(-int(size) // (6 * RANGE))))
     with arrow_rows(spark, DOCS):
-        counted = _messages(docs, ranges).groupBy("slot").applyInArrow(_count_shared(ranges), ROW_SQL)
-        counted = settled(counted)
+        counted = settled(by_slot(_messages(docs, ranges), ranges, _count_shared(ranges), ROW_SQL))
         rows = counted.where("node is not null").select("doc_id", "n", "node")
-        shared = counted.where("counts is not null").groupBy("slot").applyInArrow(_shared_counts, "name long, shared long")
-        named = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).withColumn("name", F.col("node").bitwiseAND((1 << 8 * NAME) - 1))
-        members = settled(named.join(shared, "name").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("node"))
-        bits = spark.sparkContext.broadcast(member_filter(members))
-        held = _member_messages(docs, bits, ranges).groupBy("slot").applyInArrow(_count_holders(ranges), ROW_SQL)
-        sets = settled(held.groupBy("slot").applyInArrow(_windows, "node long, n long, shingles binary, pivots array<long>"))
+        shared = by_slot(counted.where("counts is not null"), ranges, _shared_counts, "name long, shared long")
+        named = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first"))
+        named = settled(named.withColumn("name", F.col("node").bitwiseAND((1 << 8 * NAME) - 1)))
+        members = settled(named.join(shared, "name").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("node", "first"))
+        hot = counted.where("keys is not null and nodes is null").select("slot", "keys").mapInArrow(_hot_hashes, "h long")
+        filters = [spark.sparkContext.broadcast(bit_filter(settled(x))) for x in (members.select(F.col("node").alias("h")), hot)]
+        held = by_slot(_member_messages(docs, *filters, ranges), ranges, _count_holders(ranges), ROW_SQL)
+        sets = settled(by_slot(held, ranges, _windows, "node long, n long, shingles binary, pivots array<long>"))
     pivots = sets.select("node", F.explode("pivots").alias("pivot"))
-    first = pivots.groupBy("pivot").agg(F.min("node").alias("first"), F.count("*").alias("k")).where("k > 1")
-    star = pivots.join(first, "pivot").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    first = pivots.groupBy("pivot").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1")
+    star = spread_join(pivots, first, "pivot", "node").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     regions = components(star).withColumnRenamed("component", "region")
-    return rows, join_regions(sets.select("node", "shingles"), regions)
+    return rows, named.select("node", "first"), join_regions(sets.join(members, "node").select("node", "first", "shingles"), regions)
 
 
 def _named(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` doc_id, n, node (the name of its set), comp (of its component) and component_id.
 
     A row without shingles is a component of its own: comp is null."""
-    rows, edges = linked_sets(docs)
-    comp = components(edges)
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("comp"))
-    least = nodes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = nodes.join(least, "comp").select("node", "comp", "component_id")
-    found = rows.where("n > 0").join(named, "node").select("doc_id", "n", "node", "comp", "component_id")
+    rows, nodes, edges = linked_sets(docs)
+    comp = components(edges).select(F.col("node").alias("self"), "component")
+    nodes = nodes.withColumn("self", F.struct("first", "node")).join(comp, "self", "left").select("node", F.coalesce("component", "self").alias("c"))
+    named = nodes.select("node", F.col("c.node").alias("comp"), F.nullif(F.col("c.first"), F.lit(NO_ID)).alias("component_id"))
+    found = spread_join(rows.where("n > 0"), named, "node", "doc_id").select("doc_id", "n", "node", "comp", "component_id")
     return found.unionByName(rows.where("n = 0").select("doc_id", "n", "node", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id")))
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -336,6 +337,67 @@ def test_jaccard_join_is_exact(spark, monkeypatch, block):
     assert got == {i: (len(sets[i]), comp[i]) for i in ids}
 
 
+def chained(r, clusters, copies, words=80):
+    """Clusters of near copies, each sharing half of its base with the next: one region, in which pivots part clusters."""
+    texts, base = [], [f"w{r.randrange(10**6)}" for _ in range(words)]
+    for _ in range(clusters):
+        for _ in range(copies):
+            texts.append(" ".join(w if r.random() > 0.003 else f"x{r.randrange(10**6)}" for w in base))
+        base = base[words // 2 :] + [f"w{r.randrange(10**6)}" for _ in range(words // 2)]
+    r.shuffle(texts)
+    return texts
+
+
+def brute_components(texts):
+    sets = [shingles_of(t) for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return components_of(range(len(sets)), linked)
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_pivots_part_large_regions_across_tasks(spark, monkeypatch, hot):
+    from matchloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "BLOCK", 40)
+    monkeypatch.setattr(J, "HOT", hot)  # 3: nearly all shingles are known by the filter only
+    tight, real = [], J.part_cells
+
+    def watched(sets, cells):
+        first = cells.groupBy("cell").count().agg({"count": "max"}).first()[0]
+        small, left, edges = real(sets, cells)
+        tight.append((first, small.groupBy("cell").count().agg({"count": "max"}).first()[0], left.count() if left is not None else 0))
+        return small, left, edges
+
+    monkeypatch.setattr(J, "part_cells", watched)
+    texts = chained(random.Random(21), 14, 25)
+    got = {x["doc_id"]: x["component_id"] for x in J.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_components(texts)
+    (region, cell, left), = tight
+    assert cell <= 40 and left == 0 and (region > 80 or hot > 3), tight  # regions of several blocks, parted into cells of one at most
+
+
+def test_pivots_part_regions_within_a_task():
+    from matchloom.llm import jaccard_join as J
+    from matchloom.llm.shingles import shingle_sets
+
+    for seed in range(6):
+        texts = chained(random.Random(seed), 8, 12)
+        join = J.Join(list(shingle_sets(t.encode() for t in texts)))
+        edges = join.all()
+        assert join.splits > 0 and components_of(range(len(texts)), edges) == brute_components(texts)
+
+
+def test_a_passage_in_all_documents_joins_nothing(spark, monkeypatch):
+    from matchloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "HOT", 50)
+    r = random.Random(14)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{passage} " + " ".join(f"q{r.randrange(10**6)}" for _ in range(60)) for _ in range(400)] + [passage + " tail"] * 2 + [passage]
+    got = {x["doc_id"]: x["component_id"] for x in J.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: min(i, 400) for i in range(403)}
+
+
 def test_jaccard_join_edge_cases(odd_docs, no_docs):
     from matchloom.llm.jaccard_join import jaccard_join, near_duplicates_dropped
 
@@ -367,8 +429,11 @@ def test_more_sets_of_a_shingle_than_fit_beside_it():
     messages = []
     for at in range(0, n, part):
         nodes = np.arange(at, min(at + part, n), dtype=np.uint64)
-        messages.append({"slot": 0, "keys": J._low(np.full(len(nodes), 77, np.uint64), J.KEY), "of": np.arange(len(nodes), dtype=np.uint16).tobytes(), "nodes": J._low(nodes, J.NAME)})
+        messages.append({"slot": 0, "keys": J._low(np.full(len(nodes), 77, np.uint64), J.KEY), "of": np.arange(len(nodes), dtype=np.uint16).tobytes(), "nodes": J._low(nodes, J.NAME), "counts": b""})
     found = J._count_shared(1)(pa.Table.from_pylist(messages, J.ROW))
+    hot = found.filter(pc.is_null(found["nodes"]))
+    assert [J._wide(k.as_py(), J.KEY).tolist() for k in hot["keys"]] == [[77]]
+    found = found.filter(pc.is_valid(found["nodes"]))
     assert sum(len(x.as_py()) // J.NAME for x in found["nodes"]) == n
     assert all((np.frombuffer(x.as_py(), np.uint32) == 1).all() for x in found["counts"])
 
@@ -381,14 +446,22 @@ def test_shared_shingles_are_sent_once_and_counted_for_all(monkeypatch, beside):
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 60, 12).astype(np.uint64) * np.uint64(2**58 + 12345)) for _ in range(40)]
     rows, most = [], 0
-    for slot, keys, of, nodes in J._ranged(((i + 1, s) for i, s in enumerate(sets)), 1, once=True):
+    for slot, keys, of, nodes, times in J._ranged(((i + 1, s) for i, s in enumerate(sets)), 1, once=True):
         if slot is None:
             rows.append({"slot": 0, "nodes": J._low(nodes, J.NAME), "counts": keys.astype(np.uint32).tobytes()})
         else:
             most = max(most, np.unique(keys, return_counts=True)[1].max())
-            rows.append({"slot": 0, "keys": J._low(keys, J.KEY), "of": of.astype(np.uint16).tobytes(), "nodes": J._low(nodes, J.NAME)})
+            rows.append({"slot": 0, "keys": J._low(keys, J.KEY), "of": of.astype(np.uint16).tobytes(), "nodes": J._low(nodes, J.NAME), "counts": times.astype(np.uint32).tobytes()})
     monkeypatch.setattr(J, "BESIDE", beside)
-    found = J._shared_counts(J._count_shared(3)(pa.Table.from_pylist(rows, J.ROW)))
+    monkeypatch.setattr(J, "HOT", 9)
+    found = J._count_shared(3)(pa.Table.from_pylist(rows, J.ROW))
+    hot = np.concatenate([np.zeros(0, np.uint64), *(J._wide(k.as_py(), J.KEY) for k in found["keys"] if k.is_valid)])
+    held = {}
+    for s in sets:
+        for x in s.tolist():
+            held[x] = held.get(x, 0) + 1
+    assert sorted(hot.tolist()) == sorted(x & (2**40 - 1) for x, n in held.items() if n >= 9) and len(hot) > 5
+    found = J._shared_counts(found.filter(pc.is_valid(found["counts"])))
     got = dict(zip(found["name"].to_pylist(), found["shared"].to_pylist()))
     assert most == 1
     for i, s in enumerate(sets):
@@ -401,9 +474,9 @@ def test_shingles_of_one_set_that_look_alike_count_each():
     alike = np.array([5, 5 + 2**41], np.uint64)  # one range, equal in the bits that travel
     rows = []
     for node, more in ((1, 70), (2, 90)):  # two partitions
-        for slot, keys, of, nodes in J._ranged([(node, np.append(alike, np.uint64(more)))], 1, once=True):
+        for slot, keys, of, nodes, times in J._ranged([(node, np.append(alike, np.uint64(more)))], 1, once=True):
             row = {"slot": 0, "nodes": J._low(nodes, J.NAME)}
-            row |= {"counts": keys.astype(np.uint32).tobytes()} if slot is None else {"keys": J._low(keys, J.KEY), "of": of.astype(np.uint16).tobytes()}
+            row |= {"counts": keys.astype(np.uint32).tobytes()} if slot is None else {"keys": J._low(keys, J.KEY), "of": of.astype(np.uint16).tobytes(), "counts": times.astype(np.uint32).tobytes()}
             rows.append(row)
     found = J._shared_counts(J._count_shared(1)(pa.Table.from_pylist(rows, J.ROW)))
     assert dict(zip(found["name"].to_pylist(), found["shared"].to_pylist())) == {1: 2, 2: 2}
