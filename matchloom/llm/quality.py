@@ -257,7 +257,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
+    """The rows of ``docs`` that the classifier accepts, with their columns.
+
+    A null or empty text gets the score of a text without words; repeated rows get equal scores and stay or go
+    together; rows without id are judged but never learnt from. An empty table gives no rows."""
     scored = score_quality(docs, fit_quality(docs, labels))
     return scored.where(F.col(scored.columns[-1]) >= ACCEPT).select(*docs.columns)
 

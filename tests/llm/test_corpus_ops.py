@@ -291,6 +291,42 @@ def test_token_counts_add_up(odd_docs, no_docs):
         attribute_tokens(no_docs, rule="none")
 
 
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_token_counts_of_sections_by_brute_force(spark, rule):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from matchloom.llm.token_attribution import attribute_tokens
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(10)
+    rows = [(i, "".join(r.choice(["ab", " the", "é", "\n", "x|", " 日本", "🙂", "  ", "word"]) for _ in range(r.randrange(0, 60))), f"s|{i}") for i in range(40)]
+    got = {}
+    for x in attribute_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"), ("source", "text"), joiner=" ", pattern=r"\|", rule=rule).collect():
+        got.setdefault(x["doc_id"], []).append((x["section"], x["field"], x["start_char"], x["end_char"], x["n_tokens"]))
+    for i, text, source in rows:
+        whole, begins, fields, at = f"{source} {text}", [], [], 0
+        for name, field, tail in (("source", source, " "), ("text", text, "")):
+            parts = field.split("|")
+            parts = [p + "|" for p in parts[:-1]] + ([parts[-1]] if parts[-1] or len(parts) == 1 else [])
+            for p in parts:
+                begins.append(at)
+                fields.append(name)
+                at += len(p)
+            at += len(tail)
+        ends, data = [*begins[1:], len(whole)], whole.encode()
+        counts, byte = [0] * len(begins), 0
+        for token in tokenizer.encode(whole, add_special_tokens=False).ids:  # a token is a run of bytes
+            width = len(tokenizer.id_to_token(token))  # a character of the vocabulary stands for a byte
+            covered = [c for c in range(len(whole)) if len(whole[:c].encode()) < byte + width and len(whole[: c + 1].encode()) > byte]
+            byte += width
+            shares = [sum(b <= c < e for c in covered) for b, e in zip(begins, ends)]
+            held = [k for k, n in enumerate(shares) if n]
+            counts[held[0] if rule == "first" else held[-1] if rule == "last" else max(held, key=lambda k: (shares[k], -k))] += 1
+        assert byte == len(data)
+        assert sorted(got[i]) == [(k, f, b, e, n) for k, (f, b, e, n) in enumerate(zip(fields, begins, ends, counts))]
+
+
 # ---------------------------------------------------------------- op4
 
 

@@ -266,6 +266,30 @@ def test_pipeline_runs_stage_by_stage(spark, tiny):
     assert P.run(spark, tiny).count() >= P.STAGES[-1][1](spark, docs, tiny).count() * 0.9
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    import corpus_pipeline as P
+
+    docs, labels = quality_tables(spark, 300)
+    docs = docs.withColumn("_n", docs["n_chars"]).withColumn("node", docs["doc_id"])
+    docs = docs.unionByName(docs.where("doc_id in (3, 9001, 9002) or doc_id is null"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (docs, docs.limit(0)):
+        kept = spark.createDataFrame(rows.collect(), rows.schema)
+        for name, stage in P.STAGES[:-1]:
+            before = [(r["doc_id"], r["text"]) for r in kept.collect()]
+            kept = spark.createDataFrame(stage(spark, kept, str(tmp_path)).collect(), rows.schema)
+            now = [(r["doc_id"], r["text"]) for r in kept.collect()]
+            assert kept.columns == rows.columns and set(now) <= set(before)
+            if name == "near_copies":
+                assert len(set(now)) == len([x for x in now if x[0] is not None]) + (None in {i for i, _ in now})
+                assert sum(i is None for i, _ in now) == sum(i is None for i, _ in before)
+            if name == "mix":
+                assert all(t and t.split() for _, t in now)
+        pieces = P.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert sum(r["piece"] == 0 for r in pieces) == kept.count()
+
+
 def test_queries_and_sql_are_registered():
     from matchloom.llm import registry
 
