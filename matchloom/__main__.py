@@ -1,11 +1,13 @@
 """Command line: ``python -m matchloom STEP ...`` with the steps prepare, train, predict, tune, score and profile.
 
-Steps hand each other Parquet tables in the work folder and are skipped where their table is there, unless
-``--overwrite`` is given."""
+Steps hand each other Parquet tables in the work folder. A table carries the options that it was made with in its
+name, so a step is skipped where a table of the same options is there, unless ``--overwrite`` is given."""
 
 from __future__ import annotations
 
 import argparse
+import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,44 +39,68 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--rules", action="store_true", help="also tune the rules on whole entities")
     p.add_argument("--dry-run", action="store_true", help="tune without saving")
     p.add_argument("--limit", type=int, help="read the first rows of each source only")
+    p.add_argument("--half-a-words", action="store_true", help="learn the dictionary from half A's entities only, so that tuning on half B sees none of its words")
+    p.add_argument("--folds", type=int, default=0, help="also score the training pairs by models that haven't seen their entity, in so many folds")
     p.add_argument("--overwrite", action="store_true")
     return p
 
 
+#: The options that each table depends on, besides those of the tables it is made from.
+DEPENDS = {
+    "dictionary": ("limit", "min_count", "half_a_words"), "records": ("split",), "candidates": ("k",), "pairs": ("query_frac", "seed", "countries"),
+    "model": ("neg_frac", "rounds"), "best": ("split", "countries"), "oof": ("folds",),
+}
+CHAIN = {
+    "dictionary": (), "records": ("dictionary",), "candidates": ("dictionary", "records"), "pairs": ("dictionary", "candidates"),
+    "model": ("dictionary", "candidates", "pairs"), "best": ("dictionary", "candidates"), "oof": ("dictionary", "candidates", "pairs", "model"),
+}
+
+
 class Steps:
     def __init__(self, spark: SparkSession, o: argparse.Namespace):
         self.spark, self.o = spark, o
         self.settings_path = f"{o.work_dir}/settings.json"
-
-    def truth(self) -> DataFrame:
-        return tables.read_truth(self.spark, f"{self.o.data_dir}/{self.o.split}/{self.o.split}_ground_truth.tsv")
-
-    def kept(self, name: str, make) -> DataFrame:
-        return tables.stage(self.spark, f"{self.o.work_dir}/{self.o.split}/{name}", make, self.o.overwrite)
-
-    def raw(self) -> tuple[DataFrame, DataFrame]:
-        paths = [f"{self.o.data_dir}/{self.o.split}/{self.o.split}_source{i}.tsv" for i in (1, 2, 3)]
+        self.made: dict[str, DataFrame] = {}
+
+    def options(self, table: str) -> str:
+        """A short name of all options that a table depends on."""
+        names = sorted({n for t in (table, *CHAIN[table]) for n in DEPENDS[t]})
+        return hashlib.sha256(json.dumps({n: getattr(self.o, n) for n in names}, sort_keys=True).encode()).hexdigest()[:8]
+
+    def truth(self, split: str | None = None) -> DataFrame:
+        split = split or self.o.split
+        return tables.read_truth(self.spark, f"{self.o.data_dir}/{split}/{split}_ground_truth.tsv")
+
+    def kept(self, name: str, make, options: str, split: str | None = None) -> DataFrame:
+        """A table of the work folder, made once a run at most."""
+        path = f"{self.o.work_dir}/{split or self.o.split}/{name}-{options}"
+        if path not in self.made:
+            self.made[path] = tables.stage(self.spark, path, make, self.o.overwrite)
+        return self.made[path]
+
+    def raw(self, split: str | None = None) -> tuple[DataFrame, DataFrame]:
+        split = split or self.o.split
+        paths = [f"{self.o.data_dir}/{split}/{split}_source{i}.tsv" for i in (1, 2, 3)]
         one, two, three = (tables.read_records(self.spark, p, self.o.limit) for p in paths)
         return one, two.unionByName(three)
 
     def words(self):
         """The dictionary, learnt from the training split whatever the split at hand."""
+
         def make():
-            entities, queries = self.raw()
-            return dictionary.learn(queries, self.truth(), entities, self.o.min_count)
+            entities, queries = self.raw("train")
+            other = entities.where(half(F.col("entity_id")) == 1).select(F.col("entity_id").alias("s1_id")) if self.o.half_a_words else None
+            return dictionary.learn(queries, self.truth("train"), entities, self.o.min_count, other)
 
-        path = f"{self.o.work_dir}/dictionary"
-        learnt = tables.stage(self.spark, path, make, self.o.overwrite and self.o.split == "train")
-        return dictionary.as_map(learnt) if learnt.limit(1).count() else None
+        return dictionary.as_words(self.kept("dictionary", make, self.options("dictionary"), "train"))
 
     def records(self) -> tuple[DataFrame, DataFrame]:
         entities, queries = self.raw()
-        words = self.words()
-        return self.kept("entities", lambda: normalize(entities, words)), self.kept("queries", lambda: normalize(queries, words))
+        options = self.options("records")
+        return tuple(self.kept(name, lambda rows=rows: normalize(rows, self.words()), options) for name, rows in (("entities", entities), ("queries", queries)))
 
     def candidates(self) -> DataFrame:
-        entities, queries = self.records()
-        return self.kept("candidates", lambda: blocking.block(entities, queries, self.o.k))
+        return self.kept("candidates", lambda: blocking.block(*self.records(), self.o.k), self.options("candidates"))
 
     def pairs(self, chosen: DataFrame | None = None) -> DataFrame:
         entities, queries = self.records()
@@ -82,8 +108,7 @@ class Steps:
         some = all_ if chosen is None else chosen
         if self.o.countries:
             some = some.where(F.col("country").isin(self.o.countries))
-        recs = features.prepared(entities.unionByName(queries), features.word_idf(entities))
-        return features.context(features.pair_features(some, recs), all_)
+        return features.featurize(some, entities, queries, all_)
 
     def prepare(self) -> None:
         entities, queries = self.records()
@@ -96,10 +121,16 @@ class Steps:
         ours = sampling.record_half(queries, true).where("half = 0").select(F.col("entity_id").alias("query_id"))
         ours = sampling.share(ours, self.o.query_frac, "query_id", seed=self.o.seed)
         labelled = blocking.label(self.candidates(), true).join(ours, "query_id", "left_semi")
-        pairs = self.kept("pairs", lambda: self.pairs(labelled))
-        fitted = model.train(pairs, trees=self.o.rounds, negatives=self.o.neg_frac, seed=self.o.seed)
-        fitted.write().overwrite().save(f"{self.o.work_dir}/model")
-        tables.merge_settings(self.settings_path, threshold=0.5, threshold_tuned=False)
+        pairs = self.kept("pairs", lambda: self.pairs(labelled), self.options("pairs"))
+        how = {"trees": self.o.rounds, "negatives": self.o.neg_frac, "seed": self.o.seed}
+        fitted = model.train(pairs, **how)
+        name = f"model-{self.options('model')}"
+        fitted.write().overwrite().save(f"{self.o.work_dir}/{name}")
+        tables.merge_settings(self.spark, self.settings_path, model=name, threshold=0.5, threshold_tuned=False)
+        if self.o.folds:
+            unseen = self.kept("oof", lambda: model.out_of_fold(pairs, self.o.folds, **how), self.options("oof"))
+            print("out of fold: area under ROC", round(model.area_under_roc(unseen), 5))
+            model.held_out_quality(unseen).show()
         scored = model.score(pairs, fitted)
         print("area under ROC", round(model.area_under_roc(scored), 5))
         model.held_out_quality(scored).show()
@@ -109,13 +140,16 @@ class Steps:
     def best(self) -> DataFrame:
         from pyspark.ml import PipelineModel
 
-        return self.kept("best", lambda: decide.best_owner(model.score(self.pairs(), PipelineModel.load(f"{self.o.work_dir}/model"))))
+        trained = tables.read_settings(self.spark, self.settings_path)["model"]
+        score = lambda: decide.best_owner(model.score(self.pairs(), PipelineModel.load(f"{self.o.work_dir}/{trained}")))
+        return self.kept(f"best-{trained}", score, self.options("best"))
 
     def predict(self) -> None:
-        known = tables.read_settings(self.settings_path)
+        known = tables.read_settings(self.spark, self.settings_path)
         threshold = self.o.threshold if self.o.threshold is not None else known.get("threshold", 0.5)
         by_country = known.get("country_thresholds", {}) | {c: float(t) for c, _, t in (x.partition("=") for x in self.o.country_threshold)}
-        matches = decide.accepted(self.best(), threshold, by_country, self.o.support or known.get("support_threshold"), self.o.lone or known.get("lone_threshold"))
+        given = lambda name: getattr(self.o, name) if getattr(self.o, name) is not None else known.get(f"{name}_threshold")
+        matches = decide.accepted(self.best(), threshold, by_country, given("support"), given("lone"))
         entities, _ = self.records()
         out = f"{self.o.work_dir}/output_{self.o.split}"
         tables.write_tsv(decide.match_lists(matches, entities), f"{out}/matching_results")
@@ -134,7 +168,7 @@ class Steps:
         print(found)
         evaluate.report(evaluate.entity_scores(decide.accepted(best, found["threshold"]), true, ours)).show()
         if not self.o.dry_run:
-            tables.merge_settings(self.settings_path, ("support_threshold", "lone_threshold"), **found)
+            tables.merge_settings(self.spark, self.settings_path, ("support_threshold", "lone_threshold"), **found)
 
     def score(self) -> None:
         entities, _ = self.records()

@@ -1,15 +1,21 @@
-"""Text normalization as column expressions; nothing here leaves the JVM."""
+"""Text normalization as column expressions. Only the words of names leave the JVM, for spelling and legal forms."""
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom import schemas as S
+from matchloom.functions.similarity import ratio
 
 
 def strip(c: Column) -> Column:
@@ -44,6 +50,20 @@ def translate_script(c: Column, dictionary: Column | None) -> Column:
     return F.when(has_script(c) == 1, translated).otherwise(c)
 
 
+def translated(records: DataFrame, dictionary: DataFrame, columns: tuple[str, ...], key: str = "entity_id") -> DataFrame:
+    """``records`` with ``columns`` translated by ``dictionary`` (script_word, english_word), of any size, as ``translate_script`` does.
+
+    Only words of texts in an Indian script meet the dictionary, each as a row."""
+    for column in columns:
+        native = records.where(has_script(F.col(column)) == 1).select(F.col(key).alias("_key"), F.posexplode(script_tokens(clean_raw(F.col(column)))).alias("_i", "script_word"))
+        known = native.join(dictionary, "script_word", "left")
+        words_ = F.array_sort(F.collect_list(F.struct("_i", F.coalesce("english_word", "script_word").alias("w"))))
+        rows = known.groupBy("_key").agg(F.array_join(F.transform(words_, lambda x: x["w"]), " ").alias("_text"))
+        joined = records.join(rows, F.col(key) == F.col("_key"), "left")
+        records = joined.withColumn(column, F.when(has_script(F.col(column)) == 1, F.coalesce("_text", F.lit(""))).otherwise(F.col(column))).drop("_key", "_text")
+    return records
+
+
 @functools.cache
 def ascii_tables() -> tuple[str, str, dict[str, str]]:
     """Characters that decompose to one ASCII character, these, and those that decompose to several."""
@@ -62,7 +82,7 @@ def ascii_tables() -> tuple[str, str, dict[str, str]]:
 def ascii_lower(c: Column) -> Column:
     """Compatibility decomposition, ASCII only, lower case."""
     source, target, several = ascii_tables()
-    spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one literal, folded when the plan is made
     long_form = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")
     c = F.when(c.rlike("[" + "".join(several) + "]"), long_form).otherwise(c)
     c = F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, source, target), r"[^\x00-\x7F]", "")).otherwise(c)
@@ -116,28 +136,51 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / both)
 
 
-def is_legal_typo(t: Column) -> Column:
-    """A longer word that is nearly a legal form.
+@functools.lru_cache(200_000)
+def spelled_out(token: str) -> str:
+    """A token with the digits between its letters that stand for letters spelled out, as ``leet`` does."""
+    digits = "".join(S.LEET)
+    return re.sub(rf"(?<=[a-z])[{digits}]+(?=[a-z])", lambda m: "".join(S.LEET[d] for d in m[0]), token)
 
-    The table is only filled for words of a fitting length that share enough characters to reach the ratio."""
 
-    def near(w: str) -> Column:
-        shared = F.length(t) - F.length(F.translate(t, w, ""))
-        may = F.length(t).between(*_lengths(len(w))) & (200 * shared >= S.LEGAL_FUZZY_FROM * (F.length(t) + len(w)))
-        return F.when(may, indel_ratio(t, F.lit(w)) >= S.LEGAL_FUZZY_FROM).otherwise(F.lit(False))
+@functools.lru_cache(200_000)
+def is_legal_typo(token: str) -> bool:
+    """Whether a longer word is nearly a legal form."""
+    if len(token) < 5:
+        return False
+    bound = lambda w: 200 * min(len(token), len(w)) >= S.LEGAL_FUZZY_FROM * (len(token) + len(w))
+    return any(bound(w) and ratio(token, w) >= S.LEGAL_FUZZY_FROM for w in S.LEGAL_LONG)
 
-    return F.when(F.length(t) >= 5, functools.reduce(lambda x, y: x | y, [near(w) for w in S.LEGAL_LONG])).otherwise(F.lit(False))
 
+def name_words(parts: pa.Array) -> pa.Array:
+    """For the words of the parts of names: ``toks``, spelled out, and ``kept``, less legal forms and less near misses of them among the last two.
 
-def _lengths(n: int) -> tuple[int, int]:
-    fits = [m for m in range(1, 4 * n) if 200 * min(m, n) >= S.LEGAL_FUZZY_FROM * (m + n)]
-    return fits[0], fits[-1]
+    Every different word is looked at once; lists are rebuilt from their offsets."""
+    lists = parts.flatten()
+    words = lists.flatten().dictionary_encode()
+    texts = [spelled_out(t) for t in words.dictionary.to_pylist()]
+    of, count = words.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    starts = np.cumsum(count) - count
+    place, size = np.arange(len(of)) - np.repeat(starts, count), np.repeat(count, count)
+    legal, typo = (np.array([f(t) for t in texts], bool) for f in (S.LEGAL_WORDS.__contains__, is_legal_typo))
+    keep = ~(legal[of] | typo[of] & (place > 0) & (place >= size - 2))
+    toks = pa.array(texts, pa.string()).take(pa.array(of))
+    left = np.bincount(np.repeat(np.arange(len(count)), count)[keep], minlength=len(count))
+    outer = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+    ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    nested = lambda values, n: pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(ends(n), values))
+    return pa.StructArray.from_arrays([nested(toks, count), nested(toks.filter(pa.array(keep)), left)], ["toks", "kept"])
+
+
+@functools.cache
+def _name_words(application: str) -> Callable:
+    """The function of an application: one only, so that plans of the same records are the same and share what is kept of them."""
 
+    def run(parts: pa.Array) -> pa.Array:
+        return name_words(parts)
 
-def without_legal(toks: Column) -> Column:
-    """Words less legal forms, and less near misses of them among the last two."""
-    n = F.size(toks)
-    return F.filter(toks, lambda t, i: ~(t.isin(*S.LEGAL_WORDS) | F.when((i > 0) & (i >= n - 2), is_legal_typo(t)).otherwise(F.lit(False))))
+    run.__annotations__ = {"parts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "toks array<array<string>>, kept array<array<string>>")
 
 
 def without_the(toks: Column) -> Column:
@@ -150,7 +193,7 @@ def strip_zeros(t: Column) -> Column:
 
 
 def address_tokens(c: Column) -> Column:
-    spelled = F.create_map(*[F.lit(x) for short, forms in S.ADDRESS_WORDS.items() for form in forms for x in (form, short)])
+    spelled = literal_map(S.ADDRESS_WORDS.items())
     return F.transform(tokens(c), lambda t: strip_zeros(F.coalesce(F.try_element_at(spelled, t), t)))
 
 
@@ -161,15 +204,19 @@ def numbers_of(addr: Column) -> Column:
     return F.array_sort(found, by_value)
 
 
-def normalize(records: DataFrame, dictionary: Column | None = None) -> DataFrame:
-    """``records`` with the normalized name and address columns.
+def normalize(records: DataFrame, dictionary: Column | DataFrame | None = None) -> DataFrame:
+    """``records`` with the normalized name and address columns. ``dictionary``: a map, or (script_word, english_word).
 
-    Arrays are built in steps, each used by the next, so no expression is spelled out twice in the plan."""
-    plain = lambda c: ascii_lower(translate_script(clean_raw(F.col(c)), dictionary))
-    d = records.withColumns({"_name": plain("business_name"), "_addr": plain("business_address")})
+    Arrays are built in steps, each used by the next, so no expression is spelled out twice in the plan. Words go to
+    Python once, as Arrow lists, for what depends on the word alone: each different word of a batch is looked at once."""
+    d, texts = records, {"_name": "business_name", "_addr": "business_address"}
+    if isinstance(dictionary, DataFrame):
+        d = translated(d.withColumns({k: F.col(c) for k, c in texts.items()}), dictionary, tuple(texts))
+        dictionary, texts = None, {k: k for k in texts}
+    d = d.withColumns({k: ascii_lower(translate_script(clean_raw(F.col(c)), dictionary)) for k, c in texts.items()})
     d = d.withColumn("_web", F.transform(alternate_names(F.col("_name")), strip_web))
-    d = d.withColumn("_toks", F.transform("_web", lambda p: F.transform(tokens(p["text"]), leet)))
-    d = d.withColumn("_kept", F.transform("_toks", without_legal))
+    d = d.withColumn("_words", _name_words(records.sparkSession.sparkContext.applicationId)(F.transform("_web", lambda p: tokens(p["text"]))))
+    d = d.withColumns({"_toks": F.col("_words.toks"), "_kept": F.col("_words.kept")})
     d = d.withColumn("_cores", F.zip_with("_kept", "_toks", lambda k, t: F.array_join(F.when(F.size(k) > 0, without_the(k)).otherwise(t), " ")))
     d = d.withColumn("_cores", F.filter("_cores", lambda c: c != ""))
     d = d.withColumn("addr_norm", F.array_join(address_tokens(F.col("_addr")), " "))

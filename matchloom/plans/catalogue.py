@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +41,15 @@ def normalized(spark: SparkSession, sf: str) -> DataFrame:
     return text.normalize(records(spark, sf))
 
 
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    """All records, normalized once for all parts of a plan."""
+    return normalized(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Normalized entities and queries, and the truth."""
-    raw = records(spark, sf)
-    both = text.normalize(raw)
-    return both.where("src = 1").drop("src"), both.where("src > 1").drop("src"), truth(raw)
+    both = kept(spark, sf)
+    return both.where("src = 1").drop("src"), both.where("src > 1").drop("src"), truth(both)
 
 
 def candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -133,32 +138,43 @@ def record_helpers(spark, sf):
     return d.select("entity_id", "name_sorted", "name_ntok", "addr_ntok", "has_script", "first_num", "first_tok", "name_toks")
 
 
-#: Names in an Indian script for queries and tests.
-SCRIPT_NAMES = (("S2-1", "சன் டெக் லிமிடெட்", "S1-1", "Sun Tech Limited"), ("S2-2", "ராம் டெக் லிமிடெட்", "S1-2", "Ram Tech Limited"), ("S2-3", "மீரா டெக் லிமிடெட்", "S1-3", "Meera Tech Limited"), ("S3-4", "ராம் பஜார்", "S1-4", "Ram Bazaar Private"), ("S3-5", "Plain Name", "S1-5", "Plain Name"))
-_SCRIPT_VALUES = "(values " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in SCRIPT_NAMES) + ") v(query_id, native, s1_id, english)"
-_ALIGNED = f"""p as (select query_id, string_split(native, ' ') a, string_split(lower(english), ' ') b from {_SCRIPT_VALUES}),
+#: Letters that stand for a to z in names that the queries write in an Indian script.
+SCRIPT_LETTERS = "कखगघचछजझटठडढणतथदधनपफबभमयरल"
+_NATIVE = "translate(lower({}), 'abcdefghijklmnopqrstuvwxyz', '" + SCRIPT_LETTERS + "')"
+#: S2 records whose number ends in 4, 7 or a digit below have the name of their entity in the script: those with 7 one
+#: word more, those with 4 one and the same word throughout.
+_SCRIPT_VALUES = f"""(select q.entity_id query_id, s.entity_id s1_id, s.business_name english, case q.entity_id[-1] when '7' then concat({_NATIVE.format('s.business_name')}, ' क')
+  when '4' then regexp_replace(lower(s.business_name), '[a-z]+', 'कखग', 'g') else {_NATIVE.format('s.business_name')} end native
+  from r q join r s on s.entity_id = concat('S1-', substr(q.entity_id, 4)) where q.src = 2)"""
+_ALIGNED = f"""r as ({O.RECORDS}), p as (select query_id, string_split(native, ' ') a, string_split(lower(english), ' ') b from {_SCRIPT_VALUES}),
   w as (select unnest(a) s, unnest(b) e from p where len(a) = len(b)), k as (select s, e, count(*) n from w where regexp_matches(s, '[{S.INDIC}]') group by 1, 2),
   m as (select s script_word, e english_word, n, sum(n) over (partition by s) t, row_number() over (partition by s order by n desc, e) z from k)"""
 
 
-def script_tables(spark):
-    rows = spark.createDataFrame(SCRIPT_NAMES, "query_id string, native string, s1_id string, english string")
-    queries = rows.select(F.col("query_id").alias("entity_id"), F.col("native").alias("business_name"), F.lit("").alias("business_address"), F.lit("IN").alias("country"))
-    entities = rows.select(F.col("s1_id").alias("entity_id"), F.col("english").alias("business_name"), F.lit("").alias("business_address"), F.lit("IN").alias("country"))
-    return queries, rows.select("s1_id", "query_id"), entities
+def script_tables(spark, sf):
+    """Queries with names in an Indian script, the truth, and the entities."""
+    raw = records(spark, sf)
+    entities = raw.where("src = 1").drop("src")
+    of = entities.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("english"))
+    native = F.translate(F.lower("english"), "abcdefghijklmnopqrstuvwxyz", SCRIPT_LETTERS)
+    last = F.substring("entity_id", -1, 1)
+    written = F.when(last == "7", F.concat(native, F.lit(" क"))).when(last == "4", F.regexp_replace(F.lower("english"), "[a-z]+", "कखग")).otherwise(native)
+    owned = raw.where("src = 2").withColumn("s1_id", F.concat(F.lit("S1-"), F.substring("entity_id", 4, 20))).join(of, "s1_id")
+    queries = owned.withColumn("business_name", written).select("s1_id", "entity_id", "business_name", "business_address", "country")
+    return queries.drop("s1_id"), queries.select("s1_id", F.col("entity_id").alias("query_id")), entities
 
 
 @query(f"with {_ALIGNED} select script_word, english_word, n from m where z = 1 and n >= 2 and 2 * n >= t")
 def dict_learn(spark, sf):
-    return dictionary.learn(*script_tables(spark), min_count=2)
+    return dictionary.learn(*script_tables(spark, sf), min_count=2)
 
 
 @query(f"""with {_ALIGNED}, d as (select script_word from m where z = 1 and n >= 2 and 2 * n >= t),
-  q as (select query_id, unnest(string_split(native, ' ')) s from {_SCRIPT_VALUES} where regexp_matches(native, '[{S.INDIC}]')),
-  c as (select query_id, count(*) n, count(script_word) k from q left join d on script_word = s group by 1)
+  q as (select query_id, unnest(string_split(native, ' ')) s from {_SCRIPT_VALUES}),
+  c as (select query_id, count(*) n, count(script_word) k from q left join d on script_word = s where regexp_matches(s, '[{S.INDIC}]') group by 1)
   select round(sum(k) / sum(n), 6) words, round(avg((n = k)::int), 6) as names from c""")
 def dict_coverage(spark, sf):
-    queries, true, entities = script_tables(spark)
+    queries, true, entities = script_tables(spark, sf)
     return dictionary.coverage(queries, dictionary.learn(queries, true, entities, min_count=2))
 
 
@@ -166,9 +182,10 @@ def dict_coverage(spark, sf):
   q as (select query_id, native, unnest(string_split(native, ' ')) s, generate_subscripts(string_split(native, ' '), 1) i from {_SCRIPT_VALUES})
   select query_id entity_id, any_value(regexp_matches(native, '[{S.INDIC}]')::int) has_script, string_agg(coalesce(english_word, s), ' ' order by i) translated from q left join d on script_word = s group by 1""")
 def translate_script(spark, sf):
-    queries, true, entities = script_tables(spark)
-    words = dictionary.as_map(dictionary.learn(queries, true, entities, min_count=2))
-    return queries.select("entity_id", text.has_script(F.col("business_name")).alias("has_script"), text.translate_script(F.col("business_name"), words).alias("translated"))
+    queries, true, entities = script_tables(spark, sf)
+    words = dictionary.learn(queries, true, entities, min_count=2)
+    found = text.translated(queries.withColumn("translated", F.col("business_name")), words.select("script_word", "english_word"), ("translated",))
+    return found.select("entity_id", text.has_script(F.col("business_name")).alias("has_script"), "translated")
 
 
 _CRC = """(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(entity_id) + 1), lambda i: unicode(substr(entity_id, i, 1))::bigint)),
@@ -230,7 +247,15 @@ def token_set_ratio(spark, sf):
     return p.select("s1_id", "query_id", F.round(similarity.element_wise(similarity.token_set_ratio)("na", "nb"), 6).alias("ratio"))
 
 
-@query()
+def _windows_sql(short: str, long: str) -> str:
+    """The best ratio of a text with the windows of its length in another, cut at either end."""
+    m, n = f"length({short})", f"length({long})"
+    windows = f"list_distinct(list_transform(range(1 - {m}, {n}), lambda k: substr({long}, greatest(k, 0) + 1, least(k + {m}, {n}) - greatest(k, 0))))"
+    return f"list_max(list_transform({windows}, lambda v: {O.ratio(short, 'v')}))"
+
+
+@query(f"""with {_PAIRS}, sl as (select s1_id, query_id, case when length(na) <= length(nb) then na else nb end a, case when length(na) <= length(nb) then nb else na end b from pr where na <> '' and nb <> '')
+  select s1_id, query_id, round(case when contains(b, a) then 100.0 when length(a) = length(b) then greatest({_windows_sql('a', 'b')}, {_windows_sql('b', 'a')}) else {_windows_sql('a', 'b')} end, 6) ratio from sl""")
 def partial_ratio(spark, sf):
     p = true_pairs(spark, sf).where("na <> '' and nb <> ''")
     return p.select("s1_id", "query_id", F.round(similarity.element_wise(similarity.partial_ratio)("na", "nb"), 6).alias("ratio"))
@@ -279,7 +304,7 @@ def token_idf(spark, sf):
     count(*) filter (not hit)::double n_a, round(sum(case when hit then coalesce(idf, 10) else 0 end), 6) matched from mm left join ix on token = w group by 1, 2""")
 def word_features(spark, sf):
     entities, queries, true = sides(spark, sf)
-    recs = features.prepared(entities.unionByName(queries), features.word_idf(entities))
+    recs = features.prepared(kept(spark, sf).drop("src"), features.word_idf(entities))
     none = {f"{c}_{x}": F.lit(None) for c in S.CHANNELS for x in ("sim", "rank")}
     pairs = features.pair_features(true.withColumn("country", F.lit("")).withColumns(none), recs).where("w_matched_idf is not null")
     return pairs.select("s1_id", "query_id", F.round("w_unmatched_share_a", 6).alias("share_a"), F.round("w_unmatched_max_a", 6).alias("max_a"), F.col("w_unmatched_n_a").alias("n_a"), F.round("w_matched_idf", 6).alias("matched"))
@@ -357,10 +382,11 @@ def ceiling(spark, sf):
     return evaluate.ceiling(blocking.label(cands, true), true, entities)
 
 
-@query(f"with {O.BLOCKED} select s1_id, query_id from tr where (s1_id, query_id) not in (select s1_id, query_id from cd)")
+@query(f"with {O.BLOCKED} select s1_id, query_id from tr where (s1_id, query_id) not in (select s1_id, query_id from bl where channel = 'name' and rk = 1)")
 def missed_pairs(spark, sf):
-    cands, _, _, true = candidates(spark, sf)
-    return evaluate.missed_pairs(cands, true)
+    """What one candidate by name alone misses."""
+    entities, queries, true = sides(spark, sf)
+    return evaluate.missed_pairs(blocking.block(entities, queries, 1, [c for c in blocking.channels() if c.name == "name"]), true)
 
 
 @query(f"with r as ({O.RECORDS}) select entity_id, country from r where src > 1 and country not in (select country from r where src = 1 and country <> 'ASIA')")
@@ -382,7 +408,36 @@ def distractors(spark, sf):
 def pair_features(spark, sf):
     """All 51 features of every candidate pair."""
     cands, entities, queries, true = candidates(spark, sf)
-    return features.featurize(blocking.label(cands, true), entities, queries)
+    return features.featurize(blocking.label(cands, true), entities, queries, cands, kept(spark, sf).drop("src"))
+
+
+
+
+def _kernel(a: str, b: str) -> str:
+    return f"case when {a} <> '' and {b} <> '' then round({O.ratio(a, b)}, 6) end"
+
+
+_BAG = "200.0::double * list_sum(list_transform(list_distinct(string_split(sa, '')), lambda c: least(length(sa) - length(replace(sa, c, '')), length(sb) - length(replace(sb, c, ''))))) / (length(sa) + length(sb))"
+
+
+@query(f"""with {O.BLOCKED}, pr as (select cd.*, a.name_main na, b.name_main nb, a.name_nospace sa, b.name_nospace sb, a.addr_norm aa, b.addr_norm ab, a.addr_nums ma, b.addr_nums mb, b.name_is_web, b.business_name raw
+    from cd join nr a on a.entity_id = s1_id join nr b on b.entity_id = query_id),
+  nu as (select *, list_filter(string_split(ma, ' '), lambda w: w <> '') x, list_filter(string_split(mb, ' '), lambda w: w <> '') y, {_FIRST.format('aa')} fa, {_FIRST.format('ab')} fb, len({O.words('na')})::double ta, len({O.words('nb')})::double tb from pr)
+  select query_id, s1_id, country, {_kernel('na', 'nb')} n_ratio, {_kernel(_SORTED.format('na'), _SORTED.format('nb'))} n_tsort, {_kernel('sa', 'sb')} ns_ratio, {_kernel('aa', 'ab')} a_ratio,
+    {_kernel(_SORTED.format('aa'), _SORTED.format('ab'))} a_tsort, {_kernel('fa', 'fb')} num_first_digit_sim, case when na <> '' and nb <> '' then round(jaro_winkler_similarity(na, nb), 6) end n_jw, case when sa <> '' and sb <> '' then round({_BAG}, 6) end n_charbag,
+    (split_part(na, ' ', 1) = split_part(nb, ' ', 1))::int::double n_first_tok_eq, ta n_ntok_a, tb n_ntok_b, abs(ta - tb) n_ntok_diff, name_is_web::double web_b, regexp_matches(raw, '[{S.INDIC}]')::int::double script_b,
+    (ab = '')::int::double a_missing_b, len({O.words('ab')})::double a_ntok_b, case when ma <> '' and mb <> '' then len(list_intersect(x, y)) else 0 end::double num_overlap,
+    case when ma <> '' and mb <> '' then round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) end num_jacc, case when ma <> '' and mb <> '' and len(list_intersect(x, y)) = 0 then 1.0::double else 0 end num_conflict,
+    case when fa <> '' and fb <> '' then (fa = fb)::int::double end num_first_eq, case when fa <> '' and fb <> '' then round(ln(1 + abs(fa::double - fb::double)), 6) end num_first_logdiff,
+    {', '.join(f"round({c}_sim, 6) blk_{c}_sim, {c}_rank::double blk_{c}_rank" for c in S.CHANNELS)},
+    count(*) over (partition by query_id)::double q_ncand, count(*) over (partition by s1_id)::double s1_ncand from nu""")
+def pair_columns(spark, sf):
+    """Of the features of every candidate pair those that SQL can say in reasonable time."""
+    cands, entities, queries, _ = candidates(spark, sf)
+    found = features.featurize(cands, entities, queries, cands, kept(spark, sf).drop("src"))
+    rounded_ = ("n_ratio", "n_tsort", "ns_ratio", "a_ratio", "a_tsort", "num_first_digit_sim", "n_jw", "n_charbag", "num_jacc", "num_first_logdiff", *(f"blk_{c}_sim" for c in S.CHANNELS))
+    same = ("n_first_tok_eq", "n_ntok_a", "n_ntok_b", "n_ntok_diff", "web_b", "script_b", "a_missing_b", "a_ntok_b", "num_overlap", "num_conflict", "num_first_eq", *(f"blk_{c}_rank" for c in S.CHANNELS), "q_ncand", "s1_ncand")
+    return found.select("query_id", "s1_id", "country", *[F.round(c, 6).alias(c) for c in rounded_], *same)
 
 
 _CTX = "round(100 * coalesce(name_sim, 0), 6) n_best, round(100 * addr_sim, 6) a_tset, round(100 * char_sim, 6) n_charbag"
@@ -503,7 +558,11 @@ def country_thresholds(spark, sf):
     return evaluate.best_point(points, ["country"])
 
 
-@query()
+_FINE = evaluate.grid(0.28, 0.995, 0.005)
+
+
+@query(f"""with pt as materialized ({_sweep_sql("", _FINE)}), co as (select threshold c, macro_f05 best from pt where threshold between 0.295 and 0.985 and (round(threshold * 1000)::int - 300) % 20 = 0 order by macro_f05 desc, threshold limit 1),
+  fi as (select threshold f, macro_f05 finer from pt, co where threshold between c - 0.0201 and c + 0.0201 order by macro_f05 desc, threshold limit 1) select case when finer > best then f else c end threshold from co, fi""")
 def tuned_threshold(spark, sf):
     return spark.createDataFrame([(evaluate.tune(*swept(spark, sf)),)], "threshold double")
 
@@ -558,9 +617,12 @@ def match_histogram(spark, sf):
     return profile.match_histogram(raw.where("src = 1"), truth(raw))
 
 
-@query(f"with r as ({O.RECORDS}), {O.TRUTH} select query_id, count(distinct s1_id) owners from tr group by 1 having count(distinct s1_id) > 1")
+@query(f"with r as ({O.RECORDS}), {O.TRUTH}, pl as (select * from tr union all select concat(s1_id, 'x'), query_id from tr where query_id like '%1' union all select s1_id, query_id from tr where query_id like '%2') select query_id, count(distinct s1_id) owners from pl group by 1 having count(distinct s1_id) > 1")
 def several_owners(spark, sf):
-    return profile.several_owners(truth(records(spark, sf)))
+    """With a second owner planted for some records, and the same one twice for others."""
+    true = truth(records(spark, sf))
+    planted = true.where("query_id like '%1'").withColumn("s1_id", F.concat("s1_id", F.lit("x")))
+    return profile.several_owners(true.unionByName(planted).unionByName(true.where("query_id like '%2'")))
 
 
 @query(f"with r as ({O.RECORDS}), {O.TRUTH} select count(*) filter (a.country <> b.country) across, count(*) pairs, count(*) filter (a.country is null or b.country is null) as unknown from tr left join r a on a.entity_id = s1_id left join r b on b.entity_id = query_id")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from matchloom import schemas as S
-from matchloom.plans.record_view import RECORDS_SQL
+from matchloom.plans.record_view import records_sql
 
-RECORDS = RECORDS_SQL.format(part="part", region="region").replace("as string", "as varchar")
+RECORDS = records_sql().replace("as string", "as varchar")
 
 
 def quoted(values) -> str:
@@ -62,7 +62,7 @@ def zeros(t: str) -> str:
     return f"(case when regexp_matches({t}, '^[0-9]+$') then case when ltrim({t}, '0') = '' then '0' else ltrim({t}, '0') end else {t} end)"
 
 
-_ABBR = "map {" + ", ".join(f"'{f}': '{k}'" for k, fs in S.ADDRESS_WORDS.items() for f in fs) + "}"
+_ABBR = "map {" + ", ".join(f"'{f}': '{k}'" for f, k in S.ADDRESS_WORDS.items()) + "}"
 
 #: Parts of a name as rows, their words, and the words that stay; then everything gathered again.
 NORMALIZED = f"""

@@ -29,12 +29,11 @@ WEB_PREFIX = r"^(?:https?://)?(?:www\.)?@?"
 WEB_SUFFIX = r"\.(?:com|net|org|in|co|us|fr|biz|info|io)(?:\.[a-z]{2})?$"
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 INDIC = "ऀ-෿"
-#: Canonical address word: the words written for it.
+#: Words of addresses and what stands for them.
 ADDRESS_WORDS = {
-    "st": ("st", "str", "street", "saint"), "rd": ("rd", "road"), "ave": ("ave", "av", "avenue"), "blvd": ("blvd", "bd", "bvd", "boulevard"),
-    "dr": ("dr", "drive"), "ln": ("ln", "lane"), "ct": ("ct", "court"), "pl": ("pl", "place"), "hwy": ("hwy", "highway"), "pkwy": ("pkwy", "parkway"),
-    "apt": ("apt", "apartment"), "bldg": ("bldg", "building"), "fl": ("fl", "flr", "floor"), "nr": ("nr", "near"), "opp": ("opp", "opposite"),
-    "sector": ("sec", "sector"), "n": ("n", "north"), "s": ("s", "south"), "e": ("e", "east"), "w": ("w", "west"),
+    "str": "st", "street": "st", "saint": "st", "road": "rd", "av": "ave", "avenue": "ave", "bd": "blvd", "bvd": "blvd", "boulevard": "blvd",
+    "drive": "dr", "lane": "ln", "court": "ct", "place": "pl", "highway": "hwy", "parkway": "pkwy", "apartment": "apt", "building": "bldg",
+    "flr": "fl", "floor": "fl", "near": "nr", "opposite": "opp", "sec": "sector", "north": "n", "south": "s", "east": "e", "west": "w",
 }
 
 FEATURES = (

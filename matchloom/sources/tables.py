@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom import schemas as S
-from matchloom.functions.text import has_script, id_list, strip
+from matchloom.functions.text import id_list, strip
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -48,34 +48,31 @@ def write_stage(df: DataFrame, path: str, by_country: bool = True) -> None:
 
 
 def stage(spark: SparkSession, path: str, make, again: bool = False) -> DataFrame:
-    """The rows kept at ``path``, made first if they aren't there."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
-    if again or not there:
+    """The rows kept at ``path``, made first if they aren't there. New rows are written beside old ones and take their place."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if again or not files.exists(folder(f"{path}/_SUCCESS")):
         made = make()
-        write_stage(made, path, "country" in made.columns)
+        write_stage(made, f"{path}.new", "country" in made.columns)
+        files.delete(folder(path), True)
+        if not files.rename(folder(f"{path}.new"), folder(path)):
+            raise OSError(f"{path}.new could not be moved to {path}")
     return spark.read.parquet(path)
 
 
-def with_ids(df: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_semi")
-
-
-def script_names(records: DataFrame) -> DataFrame:
-    return records.where(has_script(F.col("business_name")) == 1).select("entity_id", "business_name")
-
-
-def read_settings(path: str) -> dict:
-    try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """Settings kept as one JSON text, on any file system that Spark reads; none if there are no such."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return {}
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def merge_settings(path: str, drop: tuple[str, ...] = (), **values) -> dict:
+def merge_settings(spark: SparkSession, path: str, drop: tuple[str, ...] = (), **values) -> dict:
     """The settings at ``path`` with ``values`` over them, after ``drop`` has gone."""
-    merged = {k: v for k, v in read_settings(path).items() if k not in drop} | values
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(merged, f, ensure_ascii=False, indent=1)
+    merged = {k: v for k, v in read_settings(spark, path).items() if k not in drop} | values
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = folder.getFileSystem(spark._jsc.hadoopConfiguration()).create(folder, True)
+    out.write(bytearray(json.dumps(merged, ensure_ascii=False, indent=1), "utf-8"))
+    out.close()
     return merged

@@ -36,7 +36,7 @@ def test_steps_in_order(spark, files, capsys):
     for step in ("profile", "prepare", "train", "predict", "tune", "predict", "score"):
         options = arguments().parse_args([step, *base, *(["--by-country", "--rules"] if step == "tune" else [])])
         getattr(Steps(spark, options), step)()
-    assert tables.read_settings(str(files / "work" / "settings.json"))["threshold_tuned"] is True
+    assert tables.read_settings(spark, str(files / "work" / "settings.json"))["threshold_tuned"] is True
     lists = tables.read_tsv(spark, str(files / "work" / "output_train" / "matching_results"), S.GROUND_TRUTH).collect()
     assert len(lists) == 180 and len({r[0] for r in lists}) == 180
     right = {(r["s1_id"], r["query_id"]) for r in tables.read_truth(spark, str(files / "data" / "train" / "train_ground_truth.tsv")).collect()}
@@ -45,6 +45,40 @@ def test_steps_in_order(spark, files, capsys):
     capsys.readouterr()
 
 
+def matched(spark, work):
+    return {r["source1_entity_id"] for r in tables.read_tsv(spark, f"{work}/output_train/matching_results", S.GROUND_TRUTH).collect() if r["matched_entity_ids"]}
+
+
+def test_kept_tables_know_their_options(spark, files, capsys):
+    work = files / "options"
+    run = lambda step, *more: getattr(Steps(spark, arguments().parse_args([step, "--data-dir", str(files / "data"), "--work-dir", str(work), "--query-frac", "1", "--rounds", "2", *more])), step)()
+    run("train", "--folds", "2")
+    run("predict", "--countries", "ASIA")
+    some = matched(spark, work)
+    run("predict")
+    every = matched(spark, work)
+    assert 0 < len(some) < len(every) and some < every
+    run("predict", "--k", "1")  # other candidates are other tables
+    assert len({p.name for p in (work / "train").glob("candidates-*")}) == 2
+    run("predict", "--overwrite", "--support", "0.0", "--half-a-words")
+    assert matched(spark, work) >= every
+    unseen = spark.read.parquet(str(next((work / "train").glob("oof-*"))))
+    assert unseen.count() == spark.read.parquet(str(next((work / "train").glob("pairs-*")))).count()
+    capsys.readouterr()
+
+
+def test_another_split_uses_the_words_of_training(spark, files, capsys):
+    import shutil
+
+    (files / "data" / "test").mkdir(exist_ok=True)
+    for i in (1, 2, 3):
+        shutil.copy(files / "data" / "train" / f"train_source{i}.tsv", files / "data" / "test" / f"test_source{i}.tsv")
+    options = arguments().parse_args(["prepare", "--data-dir", str(files / "data"), "--work-dir", str(files / "other"), "--split", "test"])
+    Steps(spark, options).prepare()  # there is no truth of this split
+    assert list((files / "other" / "train").glob("dictionary-*")) and list((files / "other" / "test").glob("entities-*"))
+    capsys.readouterr()
+
+
 def test_stream_matches_as_a_batch_does(spark, tiny, tmp_path):
     raw = records(spark, tiny)
     raw.where("src > 1").drop("src").repartition(3).write.parquet(str(tmp_path / "in"))

@@ -113,9 +113,36 @@ def test_files_round_trip(spark, tmp_path):
     make = lambda: made.append(1) or entities
     assert tables.stage(spark, path, make).count() == tables.stage(spark, path, make).count() == 2 and len(made) == 1
     settings = str(tmp_path / "settings.json")
-    assert tables.read_settings(settings) == {}
-    tables.merge_settings(settings, threshold=0.5, lone_threshold=0.6)
-    assert tables.merge_settings(settings, drop=("lone_threshold",), threshold=0.7) == {"threshold": 0.7}
+    assert tables.read_settings(spark, settings) == {}
+    tables.merge_settings(spark, settings, threshold=0.5, lone_threshold=0.6)
+    assert tables.merge_settings(spark, settings, drop=("lone_threshold",), threshold=0.7) == {"threshold": 0.7}
+
+
+def test_a_pair_without_its_record_is_an_error(spark, sides):
+    from matchloom.functions.text import normalize
+
+    entities, queries = (normalize(d) for d in sides[:2])
+    pairs = blocking.block(entities, queries).where("query_id = 'S2-1'")
+    records_ = features.prepared(entities.unionByName(queries), features.word_idf(entities))
+    assert features.pair_features(pairs, records_).count() == pairs.count() > 0
+    with pytest.raises(Exception, match="no record of S2-1"):
+        features.pair_features(pairs, records_.where("entity_id <> 'S2-1'")).collect()
+
+
+def test_out_of_fold_scores_come_from_models_that_have_not_seen_the_entity(spark, monkeypatch):
+    from matchloom.operators import model
+
+    pairs = spark.createDataFrame([(f"q{i}", f"e{i % 40}", i % 2) for i in range(200)], "query_id string, s1_id string, is_match int")
+    seen = []
+
+    def train(rows, **options):
+        seen.append({r[0] for r in rows.select("s1_id").distinct().collect()})
+        return len(seen) - 1
+
+    monkeypatch.setattr(model, "train", train)
+    monkeypatch.setattr(model, "score", lambda rows, k: rows.withColumn("prob", F.lit(float(k))))
+    rows = model.out_of_fold(pairs, 4).collect()
+    assert len(rows) == 200 and all(r["s1_id"] not in seen[int(r["prob"])] for r in rows)
 
 
 def test_samples_depend_on_ids_alone(sides):

@@ -36,6 +36,15 @@ def test_script_names_need_the_dictionary(spark):
     assert text.normalize(df).first()["name_all"] == ""
 
 
+def test_a_dictionary_of_any_size_translates_alike(spark):
+    names = ["சன் டெக் லிமிடெட்", "ராம் Tech null லிமிடெட்", "Plain, Name", "", None, "டெக்"]
+    df = spark.createDataFrame([(f"S2-{i}", n, "டெக் Road 007") for i, n in enumerate(names)], "entity_id string, business_name string, business_address string")
+    pairs = [("லிமிடெட்", "limited"), ("டெக்", "tech")]
+    table = spark.createDataFrame(pairs, "script_word string, english_word string")
+    rows = [sorted(map(str, text.normalize(df, words).collect())) for words in (text.literal_map(pairs), table)]
+    assert rows[0] == rows[1] and "tech" in rows[0][0]
+
+
 @pytest.mark.parametrize("value", ["é ó ñ ß ü", "Ærø ﬀ ① Ⅷ", "plain", "日本 x", "n̈ o"])
 def test_ascii_is_the_compatibility_decomposition(spark, value):
     import unicodedata
