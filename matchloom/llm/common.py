@@ -41,6 +41,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that go to Python at once, at most.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send TEXT_ROWS rows at once to Python at most, for a plan that runs later: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

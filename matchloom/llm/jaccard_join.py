@@ -36,7 +36,7 @@ from .vector_dedup import arrow_rows
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a range and of a message of one task, sets of a block, and of a cell that is joined as it is.
-RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 2_000_000, 1_000, 8
+RANGE, MESSAGE, BLOCK, LEAF = 2_000_000, 1_000_000, 1_000, 8
 #: Ranges there are at least, so that small tables are dealt evenly too.
 LEAST_RANGES = 24
 #: Pivots of a cell within a task, and on average of one that many tasks share; how often the latter are parted.

@@ -87,7 +87,8 @@ def source_targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size: one row each) with ``target``.
 
     Weights 1, 2, 3 repeat over sources in code point order, null last, and share all words; a target stops at
-    three times its source's words and the excess goes to the others by weight. In the order of cap by weight
+    three times its source's words and the excess goes to the others by weight. All sources, a row each, meet in one
+    task, which sorts them on disk if they are many. In the order of cap by weight
     the capped sources come first, so running sums give the level of the others."""
     order = W.orderBy(F.col("source").isNull(), F.col("source"))
     s = sources.withColumn("_w", (F.row_number().over(order) - 1) % 3 + 1).withColumn("_cap", F.col("source_size") * MAX_COPIES)

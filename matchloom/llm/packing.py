@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, small_batches, table
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -131,6 +131,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "b
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(of, pa.int64())), *arrays], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

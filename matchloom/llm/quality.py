@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Bounds of the training sample: labelled rows, and bytes of their texts. Rows come in the order of a hash of their id.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
@@ -231,6 +231,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, siz
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, the probability that a text is good, from its whole text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = "score"
     while name in docs.columns:

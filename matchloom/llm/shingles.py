@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words in a shingle, and bytes of text whose words are hashed at once.
-WORDS, SLICE = 5, 2 << 20
+WORDS, SLICE = 5, 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATORS = np.zeros(256, bool)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 from .tokens import Encoder, encoder
 
 #: To whom a token goes that lies in several sections: the one with its first character, the one with its last,
@@ -91,6 +91,7 @@ def attribute_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), joine
         arrays = [pa.array(c).cast(k) for c, k in zip(columns[1:], kinds)]
         return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), names, *arrays], ["doc_id", "field", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, field string, section int, start_char long, end_char long, n_tokens long, n_crossing long"
     return docs.select("doc_id", *fields).mapInArrow(count, schema)
