@@ -212,6 +212,61 @@ def test_quality_is_learnt_and_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in rows)
 
 
+def test_scores_follow_from_the_model_word_by_word(spark):
+    import math
+
+    from matchloom.llm import quality as Q
+
+    docs, labels = quality_tables(spark, 200)
+    got = {r["doc_id"]: r["score"] for r in Q.classify_quality(docs.where("doc_id < 40 or doc_id > 9000"), labels).collect()}
+    model = Q.fit_quality(docs.where("doc_id < 40 or doc_id > 9000"), labels)
+    for r in docs.where("doc_id < 40 or doc_id = 9001").collect():
+        words = (r["text"] or "").split()
+        d = model.word_vectors.shape[1]
+        x = [0.0] * (2 * d + 10)
+        if words:
+            for w in words:
+                for half, vector in enumerate((model.word_vectors[model.words.get(Q.folded(w), 0)], model.shape_vectors[model.shapes.get(Q.shape(w), 0)])):
+                    for i in range(d):
+                        x[half * d + i] += float(vector[i]) / len(words)
+            counts = {w: words.count(w) for w in words}
+            x[2 * d :] = [
+                1, math.log1p(len(words)), len(counts) / len(words) ** 0.9, sum(a == b for a, b in zip(words, words[1:])) / len(words), max(counts.values()) / len(words),
+                sum(map(len, words)) / len(words), min(max(map(len, words)), 100), sum(Q.folded(w) not in model.words for w in words) / len(words),
+                math.dist(x[:d], [0] * d), math.dist(x[d : 2 * d], [0] * d),
+            ]
+        x = [max(-3, min(3, (v - m) / s)) for v, m, s in zip(x, model.mean.tolist(), model.spread.tolist())]
+        w1, b1, w2, b2 = (w.tolist() for w in model.layers)
+        hidden = [math.tanh(sum(v * w1[i][k] for i, v in enumerate(x)) + b1[k]) for k in range(len(b1))]
+        odds = (sum(h * w2[k][0] for k, h in enumerate(hidden)) + b2[0]) / model.temperature
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-4)
+
+
+def test_word_vectors_sum_what_stands_near():
+    from matchloom.llm import quality as Q
+
+    ids = np.array([1, 2, 1, 3, 2, 2, 4])
+    index, n = Q.index_vectors(5, 8, 3), 5
+    want = np.zeros((n, 8))
+    for i in range(len(ids)):
+        for j in range(len(ids)):
+            if 0 < abs(i - j) <= Q.WINDOW:
+                want[ids[i]] += index[ids[j]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-6)
+    assert Q.context_vectors(ids, ids, n, 8, 3) == pytest.approx(want, abs=1e-5)
+
+
+def test_the_network_learns_what_is_not_linear():
+    from matchloom.llm import quality as Q
+
+    draw = np.random.default_rng(3)
+    x = draw.uniform(-2, 2, (1500, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(np.float64)
+    w1, b1, w2, b2 = Q.train_network(x, y)
+    odds = (np.tanh(x @ w1 + b1) @ w2 + b2)[:, 0]
+    assert np.mean((odds > 0) == (y > 0)) > 0.95
+
+
 def test_quality_without_rows_or_labels(spark):
     from matchloom.llm.quality import classify_quality
 
