@@ -37,6 +37,40 @@ def key(rows, *names):
     return sorted(tuple(str(r[n]) for n in names) for r in rows)
 
 
+# ---------------------------------------------------------------- what operators share
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace as Thing
+
+    from matchloom.llm import common
+
+    monkeypatch.setattr(common, "ship", lambda spark: None)
+    made = []
+    context = Thing(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    session = Thing(sparkContext=context, conf=Thing(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_dir(session)
+    session.conf.get = lambda key, default=None: "hdfs://shared/folder"
+    assert common.checkpoint_dir(session) == "hdfs://shared/folder" and made == ["hdfs://shared/folder"]
+
+
+def test_rows_of_a_key_are_numbered_and_joined_part_by_part(spark):
+    from matchloom.llm.common import numbered, settled, spread_join
+
+    r = random.Random(17)
+    rows = [(7 if i % 3 else r.randrange(20), i if i % 5 else None) for i in range(900)] + [(None, 1)]
+    table = settled(spark.createDataFrame(rows, "k long, v long").repartition(6))
+    seen = {}
+    for x in numbered(table.where("k is not null"), "k", "nth").collect():
+        seen.setdefault(x["k"], []).append(x["nth"])
+    assert all(sorted(n) == list(range(len(n))) for n in seen.values()) and len(seen[7]) > 600
+    values = spark.createDataFrame([(k, f"name {k}") for k in range(0, 20, 2)], "k long, name string")
+    for how in ("inner", "left"):
+        want = [(k, v, f"name {k}" if k is not None and k % 2 == 0 else None) for k, v in rows if how == "left" or (k is not None and k % 2 == 0)]
+        assert key([dict(zip("kvn", x)) for x in want], "k", "v", "n") == key([dict(zip("kvn", x)) for x in spread_join(table, values, "k", "v", how).select("k", "v", "name").collect()], "k", "v", "n")
+
+
 # ---------------------------------------------------------------- op10
 
 
