@@ -1,7 +1,7 @@
 """Matching records as they arrive: each micro-batch looks for its owners among the entities, without state.
 
 A record has one owner at most and looks for it by itself, so a batch needs nothing of the batches before it; the
-entities' postings are kept once and joined to every batch. Batches that are written again replace their files."""
+entities' vectors are kept once and every batch looks them up. Batches that are written again replace their files."""
 
 from __future__ import annotations
 
@@ -20,14 +20,16 @@ def match_stream(arriving: DataFrame, entities: DataFrame, path: str, checkpoint
     The score is the mean similarity of the channels."""
     of = blocking.channels()
     clean = normalize(entities)
-    own = blocking.token_counts(clean, of)
-    vocab = blocking.vocabulary(clean, own, of).persist(StorageLevel.MEMORY_AND_DISK)
-    index = blocking.postings(own, vocab).persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = blocking.weighed(clean, of).persist(StorageLevel.MEMORY_AND_DISK)
+    index = blocking.vectors(clean, tokens, of).persist(StorageLevel.MEMORY_AND_DISK)
 
     def batch(records: DataFrame, number: int) -> None:
-        found = blocking.neighbours(blocking.postings(blocking.token_counts(normalize(records), of), vocab), index, k)
+        made: list[DataFrame] = []
+        found = blocking.neighbours(blocking.vectors(normalize(records), tokens, of), index, k, made)
         pairs = blocking.channel_union(found)
         scored = pairs.withColumn("prob", sum(F.coalesce(f"{c.name}_sim", F.lit(0.0)) for c in of) / len(of))
         decide.accepted(decide.best_owner(scored), threshold).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for kept in made:
+            kept.unpersist()
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -176,3 +176,30 @@ def test_the_registered_classifier_has_the_operators_own_size(spark, tiny, monke
     with pytest.raises(Asked) as asked:
         catalogue.gbt_matches(spark, tiny)
     assert asked.value.args == ({},)
+
+
+def test_neighbours_over_shards_and_lanes_by_brute_force(spark, monkeypatch):
+    """Pairs that share a token stay within a task; parts of entities and of queries give together what all give."""
+    import math
+    import random
+
+    r = random.Random(3)
+    make = lambda kind, n: [(f"{kind}{i}", r.choice("xy"), " ".join(r.choices("abcdefghij", k=r.randrange(5)))) for i in range(n)]
+    entities, queries = make("e", 40), [*make("q", 30), ("alone", "z", "a b")]
+    counts = lambda text: {t: text.split().count(t) for t in text.split()}
+    want = set()
+    for query, country, text in queries:
+        own = [(e, counts(t)) for e, c, t in entities if c == country]
+        idf = {t: math.log((1 + len(own)) / (1 + sum(t in c for _, c in own))) + 1 for t in {t for _, c in own for t in c}}
+        unit = lambda c: {t: (1 + math.log(n)) * idf[t] / math.sqrt(sum(((1 + math.log(m)) * idf[u]) ** 2 for u, m in c.items() if u in idf)) for t, n in c.items() if t in idf}
+        asked = unit(counts(text))
+        sims = sorted((-round(sum(asked[t] * w for t, w in unit(c).items() if t in asked), 9), e) for e, c in own)
+        want |= {(query, e, i + 1, round(-s, 6)) for i, (s, e) in enumerate([x for x in sims if x[0] < 0][:3])}
+    of = [blocking.Channel("name", F.filter(F.split("text", " "), lambda x: x != ""), 0.5)]
+    tables_ = [spark.createDataFrame(rows, "entity_id string, country string, text string") for rows in (entities, queries)]
+    for shard, lane in ((100, 100), (4, 3)):
+        monkeypatch.setattr(blocking, "SHARD", shard)
+        monkeypatch.setattr(blocking, "LANE", lane)
+        tokens = blocking.weighed(tables_[0], of)
+        found = blocking.neighbours(blocking.vectors(tables_[1], tokens, of), blocking.vectors(tables_[0], tokens, of), 3)
+        assert {(x["query_id"], x["s1_id"], x["rank"], round(x["sim"], 6)) for x in found.collect()} == want
