@@ -1,16 +1,12 @@
-"""What the corpus operators share: scratch tables on the shared folder, and reading a table."""
+"""What the corpus operators share: kept tables on the shared folder, and reading a table."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.session import ship
+from matchloom.session import collected, removed, scratch, shared_folder, ship  # noqa: F401  the operators take them from here
 
 #: The characters that part words: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,23 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session. Where none is set, one of our own in local mode; on a cluster that is an error."""
+    """The shared folder of the session."""
     ship(spark)
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="matchloom-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark)
 
 
 #: Rows of whole texts that go to Python at once, at most.
@@ -52,16 +34,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXT_ROWS)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+#: Seconds from one collection of the driver's garbage to the next, at least.
+COLLECT_S = 4
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, kept in the shared folder: lineage is cut and no later step computes them again."""
+    """The rows of ``df``, kept in the shared folder: lineage is cut and no later step computes them again.
+
+    What made them is garbage then. Many short jobs fill the driver's heap with it, so it is collected now and then."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    collected(df.sparkSession, COLLECT_S)
+    return kept
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -220,3 +220,28 @@ def test_pairs_are_scored_without_their_texts_travelling_beside_them(spark, side
     key = lambda d: {(r["query_id"], r["s1_id"]): [None if r[c] is None else round(r[c], 9) for c in S.FEATURES] for r in d.select("query_id", "s1_id", *S.FEATURES).collect()}
     got = key(rows)
     assert got == key(want) and len(got) == cands.count() > 0
+
+
+def test_the_search_keeps_no_lineage(sides):
+    """Vectors are written, so that the shuffles behind them can be deleted."""
+    from matchloom.functions.text import normalize
+
+    found = blocking.block(*[normalize(d) for d in sides[:2]])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "name_main" not in plan and found.where("name_rank = 1").count() > 0
+
+
+def test_tuning_makes_its_rows_once(spark):
+    """Both grids read the same kept rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    best = spark.createDataFrame([("q1", "a", "x", 0.9), ("q2", "b", "x", 0.4)], BEST).mapInArrow(counted, BEST)
+    entities = spark.createDataFrame([(e, "x") for e in "ab"], "entity_id string, country string")
+    true = spark.createDataFrame([("a", "q1")], "s1_id string, query_id string")
+    assert evaluate.tune(best, true, entities) == 0.42
+    assert made.value == 2
