@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import collected, small_batches, table
 
 #: Bounds of the training sample: labelled rows, and bytes of their texts. Rows come in the order of a hash of their id.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
@@ -225,6 +225,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, siz
     ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
     found = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(ids, "doc_id")
     texts = {r["doc_id"]: r["text"] for r in found.groupBy("doc_id").agg(F.max("text").alias("text")).collect()}  # one of rows that repeat an id
+    collected(spark)  # the driver's heap held the texts too
     mix = sorted(texts, key=lambda i: (hash((i, SEED)), i))
     return fit([texts[i] for i in mix], [chosen[i] for i in mix])
 

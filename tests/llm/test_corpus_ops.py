@@ -680,3 +680,16 @@ def test_components(spark, monkeypatch, limit):
     got = {x["node"]: x["component"] for x in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = components_of({n for e in edges for n in e}, edges)
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_settling_lets_the_driver_collect_its_garbage(spark, monkeypatch):
+    """Now and then, not each time."""
+    from matchloom import session
+    from matchloom.llm import common
+
+    seen = []
+    monkeypatch.setattr(session.gc, "collect", lambda: seen.append(1))
+    spark.sparkContext._matchloom_collected = -1e9
+    for _ in range(3):
+        assert common.settled(spark.range(3)).count() == 3
+    assert len(seen) == 1
